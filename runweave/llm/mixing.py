@@ -84,11 +84,12 @@ def threshold_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
 
 
 def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The rows of docs, each as often as mix_sources takes it (not at all, up to `most` times)."""
+    """The rows of docs, each as often as mix_sources takes it (not at all, up to `most` times); all columns are kept."""
     plan = threshold_plan(docs, key, text, source, weights, most)
+    plan = plan.select(F.col("s").alias("__s"), F.col("times").alias("__n"), F.col("cut").alias("__cut"))
     own = docs.withColumns({"__h": hash60(key), "__z": word_count(text)})
-    times = F.col("times") + (F.col("__h") < F.col("cut")).cast("long")
-    own = own.join(plan, F.col(source).eqNullSafe(F.col("s"))).withColumn("__t", F.least(times, F.lit(most)))
+    times = F.col("__n") + (F.col("__h") < F.col("__cut")).cast("long")
+    own = own.join(plan, F.col(source).eqNullSafe(F.col("__s"))).withColumn("__t", F.least(times, F.lit(most)))
     own = own.where("__z > 0 and __t > 0")
     return own.withColumn("__i", F.explode(F.expr("sequence(1L, __t)"))).select(docs.columns)
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2_000_000
 _SPACE = np.zeros(256, bool)
@@ -99,7 +100,7 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
     col = batch.column(batch.schema.get_field_index(text))
     if not len(col):
         return
-    lens = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    lens = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(lens) // size + np.arange(len(col)) // 60_000 * (int(lens.sum()) + 1)
     cut = np.flatnonzero(np.diff(group)) + 1
     edges = [0, *cut.tolist(), len(col)]

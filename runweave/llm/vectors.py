@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ def _rows(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(col)
     if not n:
         return np.zeros(0, bool), np.zeros((0, dim), np.float32)
-    lens = pa.compute.fill_null(pa.compute.list_value_length(col), -1).to_numpy(zero_copy_only=False)
+    lens = pc.fill_null(pc.list_value_length(col), -1).to_numpy(zero_copy_only=False)
     fit = lens == dim
     flat = col.filter(pa.array(fit)).flatten()
     x = flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim) if dim else np.zeros((int(fit.sum()), 0), np.float32)
