@@ -47,12 +47,12 @@ h AS (SELECT *, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')) AS
 k AS (SELECT page_id, etag, sha, CASE WHEN head = '' THEN u ELSE regexp_replace(regexp_replace(head, '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1')
   || CASE WHEN starts_with(substr(u, length(head) + 1), '/') THEN substr(u, length(head) + 1) ELSE '/' || substr(u, length(head) + 1) END END AS url_key FROM h),
 j AS (
-  SELECT a.page_id * 2 + 1 AS record_id, a.url_key, a.etag, a.page_id * 60 + 1800 AS at, b.page_id AS found, b.etag AS e, b.sha,
+  SELECT a.page_id * 2 + 1 AS record_id, a.url_key, a.etag, a.page_id * 60 + 1800 AS again, b.page_id AS found, b.etag AS e, b.sha,
     row_number() OVER (PARTITION BY a.page_id ORDER BY b.page_id DESC NULLS LAST) AS rn
   FROM k a LEFT JOIN k b ON a.url_key = b.url_key AND (b.page_id * 60 < a.page_id * 60 + 1800 OR b.page_id * 60 = a.page_id * 60 + 1800 AND b.page_id * 2 < a.page_id * 2 + 1))
 SELECT record_id, url_key, CASE WHEN found IS NULL THEN 'missing' WHEN e = etag THEN 'resolved' ELSE 'mismatch' END AS outcome,
   CASE WHEN e = etag THEN found * 2 END AS resolved_id,
-  CASE WHEN e = etag THEN 'content-type: text/html' || chr(10) || 'date: ' || at || chr(10) || 'etag: ' || etag || chr(10) || 'server: a' END AS headers,
+  CASE WHEN e = etag THEN 'content-type: text/html' || chr(10) || 'date: ' || again || chr(10) || 'etag: ' || etag || chr(10) || 'server: a' END AS headers,
   CASE WHEN e = etag THEN sha END AS digest
 FROM j WHERE rn = 1
 """
@@ -89,8 +89,8 @@ WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(text, '{_UP}', '{
 s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END)) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
-e AS MATERIALIZED (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both >= 80 * (p.n + q.n - both)),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
 r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a),
 comp AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d JOIN comp ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
