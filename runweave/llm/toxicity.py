@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .common import materialize
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -77,28 +78,35 @@ def _second_order(w: np.ndarray, v: np.ndarray, d: np.ndarray, f: np.ndarray, n:
     return np.bincount(d, weights=w[f], minlength=n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def fit_machine(bags: list[np.ndarray], y: np.ndarray, factors: int = 4, keep: int = 8192, least: int = 3, z: float = 3.0, rounds: int = 400) -> Machine:
-    """Kept: up to `keep` buckets in at least `least` positive texts whose log odds exceed 0 by `z` deviations."""
+def choose_buckets(bags: DataFrame, n: int, positive: int, keep: int, least: int, z: float) -> np.ndarray:
+    """Sorted: up to `keep` buckets in at least `least` positive texts whose log odds exceed 0 by `z` deviations."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(x, "<i4") for x in b.column(2).to_pylist()]
+            y = np.repeat(b.column(1).to_numpy(zero_copy_only=False) > 0, [len(x) for x in parts])
+            term = np.concatenate([np.zeros(0, "<i4"), *parts])
+            name, at = np.unique(term, return_inverse=True)
+            pos = np.bincount(at[y], minlength=len(name))
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int32()), pa.array(pos, pa.int64()), pa.array(np.bincount(at, minlength=len(name)) - pos, pa.int64())], ["bucket", "a", "b"])
+
+    counts = bags.mapInArrow(tally, "bucket int, a long, b long").groupBy("bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= least)
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    odds = F.log(a / (positive + 1.0 - a)) - F.log(b / (n - positive + 1.0 - b))
+    best = counts.withColumn("score", odds / F.sqrt(1 / a + 1 / b)).where(F.col("score") >= z).orderBy(F.desc("score"), "bucket").limit(keep)
+    return np.sort(np.array([r[0] for r in best.select("bucket").collect()], np.int64))
+
+
+def fit_machine(buckets: np.ndarray, bags: list[np.ndarray], y: np.ndarray, factors: int = 4, rounds: int = 200) -> Machine:
+    """Full-batch Adam on the log loss with small weight decay; bags: places in `buckets` of each text's terms."""
     n, pos = len(y), y > 0
-    empty = Machine(np.zeros(0, np.int64), float(np.log((pos.sum() + 0.5) / (n - pos.sum() + 0.5))), np.zeros(0), np.zeros((0, factors)))
-    if not pos.any() or pos.all():
-        return empty
-    doc = np.repeat(np.arange(n), [len(b) for b in bags])
-    bucket = np.concatenate(bags).astype(np.int64)
-    a = np.bincount(bucket[pos[doc]], minlength=1 << BITS).astype(float)
-    b = np.bincount(bucket[~pos[doc]], minlength=1 << BITS).astype(float)
-    odds = np.log((a + 0.5) / (pos.sum() - a + 0.5)) - np.log((b + 0.5) / ((~pos).sum() - b + 0.5))
-    score = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    chosen = np.flatnonzero((a >= least) & (score >= z))
-    chosen = np.sort(chosen[np.argsort(-score[chosen], kind="stable")[:keep]])
-    if not len(chosen):
-        return empty
-    at = np.searchsorted(chosen, bucket)
-    at[at == len(chosen)] = 0
-    hit = chosen[at] == bucket
-    d, f = doc[hit], at[hit]
+    bias = float(np.log((pos.sum() + 0.5) / (n - pos.sum() + 0.5)))
+    d, f = np.repeat(np.arange(n), [len(b) for b in bags]), np.concatenate([np.zeros(0, np.int64), *bags]).astype(np.int64)
+    if not len(f) or not pos.any() or pos.all():
+        return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, factors)))
+    chosen = buckets
     rng = np.random.RandomState(0)
-    w, v, bias = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), factors)), empty.bias
+    w, v = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), factors))
     state = [np.zeros_like(x) for x in (w, v, w, v)] + [0.0, 0.0]
     for i in range(1, rounds + 1):
         raw, sums = _second_order(w, v, d, f, n)
@@ -117,20 +125,29 @@ def fit_machine(bags: list[np.ndarray], y: np.ndarray, factors: int = 4, keep: i
     return Machine(chosen, float(bias), w, v)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 20_000, held_out: int | None = 2) -> Machine:
-    """Fit on at most `most` labelled rows, those of least hash of their key.
+def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 20_000, held_out: int | None = 2, keep: int = 2048, least: int = 3, z: float = 3.0) -> Machine:
+    """Fit on at most `most` labelled rows, those of least hash of their key, and at most `keep` buckets.
 
     Rows whose crc32(key as text) mod 4 is `held_out` take no part (None: all may).
-    Null keys, labels and texts take no part.
+    Null keys, labels and texts take no part. The driver sees the kept buckets of those
+    rows only; the list of drawn keys, bounded by `most`, is broadcast, so that texts stay put.
     """
     crc = F.crc32(F.col(key).cast("string"))
     use = labels.select(F.col(key), F.col(label).alias("y")).where(F.col("y").isNotNull() & F.col(key).isNotNull())
     if held_out is not None:
         use = use.where(crc % 4 != held_out)
     use = use.groupBy(key).agg(F.max("y").alias("y")).orderBy(F.xxhash64(key), key).limit(most)
-    rows = _bags(docs.select(key, text).join(use, key), key, text).collect()
-    rows.sort(key=lambda r: r[0])
-    return fit_machine([np.frombuffer(r["terms"], "<i4") for r in rows], np.array([r["y"] for r in rows], np.int64))
+    bags = materialize(_bags(docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(use), key), key, text), "bags")
+    n, positive = bags.agg(F.count("*"), F.coalesce(F.sum((F.col("y") > 0).cast("long")), F.lit(0))).first()
+    buckets = choose_buckets(bags, n, positive, keep, least, z)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blobs = [np.flatnonzero(np.isin(buckets, np.frombuffer(x, "<i4"), assume_unique=True)).astype("<i4").tobytes() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], [key, "y", "terms"])
+
+    rows = sorted((tuple(r) for r in bags.mapInArrow(kept, bags.schema).collect()), key=lambda r: (r[0], r[1], r[2]))
+    return fit_machine(buckets, [np.frombuffer(r[2], "<i4") for r in rows], np.array([r[1] for r in rows], np.int64))
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:
