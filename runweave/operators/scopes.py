@@ -83,4 +83,4 @@ def emitted_signals(emits: DataFrame, values: DataFrame) -> DataFrame:
     """(run_id, name, payload, error): payload is the variable's value; a missing one is an error; failures carry their lineage."""
     j = emits.join(values, ["run_id", "var"], "left")
     ok = F.col("on") == "success"
-    return j.select("run_id", "name", F.when(ok, F.col("value")).otherwise(F.concat_ws("/", F.col("run_id").cast("string"), "task")).alias("payload"), F.when(ok & F.col("value").isNull(), "missing").alias("error"))
+    return j.select("run_id", "name", F.when(ok, F.col("value")).otherwise(F.concat_ws("/", F.col("run_id").cast("string"), F.lit("task"))).alias("payload"), F.when(ok & F.col("value").isNull(), "missing").alias("error"))
