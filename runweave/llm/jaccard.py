@@ -62,7 +62,7 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 _NONE = b""
-_POST = "kind int, bucket int, batch long, parts int, toks binary, at binary, hot binary, hot_n binary, ids binary, sizes binary"
+_POST = "bucket int, batch long, parts int, toks binary, at binary, hot binary, n binary, ids binary, sizes binary"
 
 
 def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: int, buckets: int) -> DataFrame:
@@ -96,7 +96,7 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
                 first = textops.runs(code)
                 count = np.diff(np.concatenate([first, [len(code)]]))
                 many = np.repeat(count > 8, count)
-                name = int.from_bytes(hashlib.blake2b(ids.tobytes() + n.tobytes(), digest_size=8).digest(), "little", signed=True)
+                name = int.from_bytes(hashlib.blake2b(ids.tobytes() + n.tobytes() + h.tobytes(), digest_size=8).digest(), "little", signed=True)
                 edges = np.searchsorted(code >> 32, np.arange(buckets + 1))
                 hot, hot_n = code[first[count > 8]], count[count > 8]
                 hot_edges = np.searchsorted(hot >> 32, np.arange(buckets + 1))
@@ -105,16 +105,18 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
                     lo, hi = edges[b], edges[b + 1]
                     if hi > lo:
                         own, s = ~many[lo:hi], slice(hot_edges[b], hot_edges[b + 1])
-                        rows.append((0, b, name, 0, code[lo:hi][own].astype("<u4").tobytes(), doc[lo:hi][own].astype("<u2").tobytes(), hot[s].astype("<u4").tobytes(), hot_n[s].astype("<u4").tobytes(), _NONE, _NONE))
+                        rows.append((b, name, 0, code[lo:hi][own].astype("<u4").tobytes(), doc[lo:hi][own].astype("<u2").tobytes(), hot[s].astype("<u4").tobytes(), hot_n[s].astype("<u4").tobytes(), _NONE, _NONE))
                 sizes = np.stack([n, low, used], 1).astype("<i8").tobytes()
-                rows.append((1, -1, name, len(rows), code[many].astype("<i8").tobytes(), doc[many].astype("<u2").tobytes(), _NONE, _NONE, ids.tobytes(), sizes))
-                types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
+                rows.append((-1 - name % buckets, name, len(rows), code[many].astype("<i8").tobytes(), doc[many].astype("<u2").tobytes(), _NONE, _NONE, ids.tobytes(), sizes))
+                types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
                 names = [f.split()[0] for f in _POST.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     def count(g: pd.DataFrame) -> pd.DataFrame:
+        if g.bucket.iloc[0] < 0:
+            return g
         toks = [np.frombuffer(x, "<u4") for x in g.toks]
-        hots, nums = [np.frombuffer(x, "<u4") for x in g.hot], [np.frombuffer(x, "<u4").astype(np.int64) for x in g.hot_n]
+        hots, nums = [np.frombuffer(x, "<u4") for x in g.hot], [np.frombuffer(x, "<u4").astype(np.int64) for x in g.n]
         every = np.concatenate([*toks, *hots])
         weight = np.concatenate([np.ones(sum(map(len, toks)), np.int64), *nums])
         order = np.argsort(every, kind="stable")
@@ -124,40 +126,36 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
         df = np.zeros(len(every), np.int64)
         df[order] = np.repeat(total, np.diff(np.concatenate([first, [len(s)]])))
         df = np.minimum(df, 65535).astype("<u2")
-        ends = np.cumsum([len(x) for x in (*toks, *hots)])
-        cut = np.split(df, ends[:-1])
+        cut = np.split(df, np.cumsum([len(x) for x in (*toks, *hots)])[:-1])
         k = len(toks)
-        out = []
-        for i in range(k):
-            two = cut[i] > 1
-            out.append((toks[i][two].tobytes(), np.frombuffer(g["at"].iloc[i], "<u2")[two].tobytes(), cut[i][two].tobytes(), hots[i].tobytes(), cut[k + i].tobytes()))
-        r = pd.DataFrame(out, columns=["toks", "at", "df", "hot", "hot_df"])
-        r.insert(0, "batch", g.batch.to_numpy())
-        r.insert(1, "bucket", g.bucket.to_numpy())
-        return r
-
-    def cut(answers: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"tok": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-        if not len(own):
+        two = [cut[i] > 1 for i in range(k)]
+        out = g[["bucket", "batch", "parts"]].copy()
+        out["toks"] = [toks[i][two[i]].tobytes() for i in range(k)]
+        out["at"] = [np.frombuffer(x, "<u2")[two[i]].tobytes() for i, x in enumerate(g["at"])]
+        out["hot"] = g.hot
+        # counts of the single entries, then of the summed ones
+        out["n"] = [cut[i][two[i]].tobytes() + cut[k + i].tobytes() for i in range(k)]
+        return out.assign(ids=_NONE, sizes=_NONE)
+
+    def cut(g: pd.DataFrame) -> pd.DataFrame:
+        answers, own = g[g.bucket >= 0].drop_duplicates("bucket"), g[g.bucket < 0]
+        if not len(own) or len(answers) < own.parts.max():
             raise RuntimeError("a batch of texts was dealt out anew while it was counted; run the join on a table")
-        res = []
-        for m in own.drop_duplicates("sizes").itertuples():
-            if len(answers) < m.parts:
-                raise RuntimeError("a batch of texts was dealt out anew while it was counted; run the join on a table")
-            sizes, ids = np.frombuffer(m.sizes, "<i8").reshape(-1, 3), np.frombuffer(m.ids, "<i8")
-            n, low, used = sizes.T
-            b = [np.int64(x) << 32 for x in answers.bucket]
-            tok = [np.frombuffer(x, "<u4").astype(np.int64) + y for x, y in zip(answers.toks, b)]
-            doc = [np.frombuffer(x, "<u2").astype(np.int64) for x in answers["at"]]
-            df = [np.frombuffer(x, "<u2").astype(np.int64) for x in answers.df]
-            hot = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + y for x, y in zip(answers.hot, b)] or [np.zeros(0, np.int64)])
-            hot_df = np.concatenate([np.frombuffer(x, "<u2").astype(np.int64) for x in answers.hot_df] or [np.zeros(0, np.int64)])
-            mine, at = np.frombuffer(m.toks, "<i8"), np.frombuffer(m.at, "<u2").astype(np.int64)
-            if len(mine):
-                o = np.argsort(hot)
-                tok.append(mine), doc.append(at), df.append(hot_df[o][np.searchsorted(hot[o], mine)])
-            if not tok:
-                continue
+        # batches of equal content share a name and have equal answers
+        res = [pd.DataFrame({"tok": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})]
+        m = own.iloc[0]
+        sizes, ids = np.frombuffer(m.sizes, "<i8").reshape(-1, 3), np.frombuffer(m.ids, "<i8")
+        n, low, used = sizes.T
+        tok, doc, df, hot, hot_df = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r in answers.itertuples():
+            base, one, counts = np.int64(r.bucket) << 32, np.frombuffer(r.toks, "<u4").astype(np.int64), np.frombuffer(r.n, "<u2").astype(np.int64)
+            tok.append(one + base), doc.append(np.frombuffer(r.at, "<u2").astype(np.int64)), df.append(counts[: len(one)])
+            hot.append(np.frombuffer(r.hot, "<u4").astype(np.int64) + base), hot_df.append(counts[len(one) :])
+        hot, hot_df, mine = np.concatenate(hot), np.concatenate(hot_df), np.frombuffer(m.toks, "<i8")
+        if len(mine):
+            o = np.argsort(hot, kind="stable")
+            tok.append(mine), doc.append(np.frombuffer(m["at"], "<u2").astype(np.int64)), df.append(hot_df[o][np.searchsorted(hot[o], mine)])
+        if tok:
             tok, doc, df = np.concatenate(tok), np.concatenate(doc), np.concatenate(df)
             order = np.lexsort((tok, df, doc))
             tok, doc = tok[order], doc[order]
@@ -167,11 +165,10 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
             room = np.where(used > low, have, _prefix(n, percent) - (low - have))
             keep = place < room[doc]
             res.append(pd.DataFrame({"tok": tok[keep], "id": ids[doc[keep]], "n": n[doc[keep]]}))
-        return pd.concat(res) if res else none
+        return pd.concat(res)
 
     sent = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).where("id is not null").mapInArrow(send, _POST)
-    answered = sent.where("kind = 0").groupBy("bucket").applyInPandas(count, "batch long, bucket int, toks binary, at binary, df binary, hot binary, hot_df binary")
-    return answered.groupBy("batch").cogroup(sent.where("kind = 1").groupBy("batch")).applyInPandas(cut, "tok long, id long, n long")
+    return sent.groupBy("bucket").applyInPandas(count, _POST).groupBy("batch").applyInPandas(cut, "tok long, id long, n long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,7 +202,7 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     info = materialize(shingle_info(docs, key, text, width), "info")
     nodes = info.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"))
     total = info.agg(F.sum("n")).first()[0] or 0
-    post = prefix_postings(docs, key, text, width, percent, max(16, total >> 20))
+    post = prefix_postings(docs, key, text, width, percent, max(64, total >> 19))
     post = post.join(nodes.select(F.col("rep").alias("id")).distinct(), "id").select("tok", "id", "n").distinct()
     post = materialize(post, "postings")
     by_tok = post.groupBy("tok").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.min(F.struct("id", "n")).alias("lead")).where("c > 1")
