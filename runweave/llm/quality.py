@@ -87,46 +87,58 @@ def measure_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(run, schema)
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    v = F.when(bad, -1)
+    return (v if good is None else v.when(good, 1)).otherwise(0)
 
 
 def rule_votes() -> dict[str, Column]:
-    """Votes by name: 1 good, -1 bad, 0 abstains. Ratios are in units of the text's own words."""
+    """Votes by name: 1 good, -1 bad, 0 abstains. Ratios are in units of the text's own words.
+
+    Most rules know one kind of junk and abstain otherwise: that a text is not of that
+    kind is no sign of quality.
+    """
     c = F.col
     n = F.greatest(c("n_words"), F.lit(1))
     mean = c("word_chars") / n
     return {
         "length": _vote(c("n_words") < 20, c("n_words") >= 50),
-        "word_length": _vote((mean < 2.5) | (mean > 12), (mean >= 3.5) & (mean <= 8)),
-        "symbols": _vote(c("n_symbols") * 10 > n, c("n_symbols") * 100 <= n),
-        "windows": _vote(c("n_repeat_words") * 100 > n * 30, c("n_repeat_words") * 100 <= n * 5),
-        "lines": _vote(c("n_dup_lines") * 10 > F.greatest(c("n_lines"), F.lit(1)) * 3, c("n_dup_lines") == 0),
-        "capitals": _vote(c("n_upper") * 10 > c("n_letters") * 4, c("n_upper") * 10 <= c("n_letters")),
-        "sentences": _vote(c("n_ends") * 200 < n, (c("n_ends") * 40 >= n) & (c("n_ends") * 3 <= n)),
-        "stutter": _vote(c("n_same") * 5 > n, c("n_same") * 50 <= n),
+        "word_length": _vote((mean < 2.5) | (mean > 12), (mean >= 3.5) & (mean <= 6.5)),
+        "symbols": _vote(c("n_symbols") * 10 > n),
+        "windows": _vote(c("n_repeat_words") * 100 > n * 30),
+        "lines": _vote(c("n_dup_lines") * 2 > F.greatest(c("n_lines"), F.lit(1))),
+        "capitals": _vote(c("n_upper") * 10 > c("n_letters") * 4),
+        "sentences": _vote(c("n_ends") * 100 < n, (c("n_ends") * 25 >= n) & (c("n_ends") * 3 <= n)),
+        "stutter": _vote(c("n_same") * 5 > n),
     }
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
+#: what is believed of a rule before any text is seen: how often it calls a good and a bad text bad
+BELIEF = (0.0005, 0.05)
+
+
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, belief: tuple[float, float] = BELIEF, trust: float = 1.0, rounds: int = 200) -> np.ndarray:
     """Posterior probability of good for each vote pattern.
 
     Conditionally independent rules, each with its own chances of voting good, bad or
-    nothing on good and on bad texts (with one pseudo-count), and a prior. EM starts from
-    the share of good votes, which fixes the meaning of the two classes.
+    nothing on good and on bad texts, and a prior. The belief enters as pseudo-counts, `trust`
+    times the number of texts for each rule and class, and fixes which class is the good one;
+    EM then moves every rule's accuracy to what its agreement with the others shows.
     """
     if not len(patterns):
         return np.zeros(0)
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], -1).astype(float)
     weight = counts.astype(float)
-    votes = (patterns != 0).sum(1)
-    bad = (patterns == -1).sum(1)
-    post = np.where(bad == 0, 0.95, np.where(bad * 2 >= np.maximum(votes, 1), 0.05, 0.6 / bad.clip(1)))
+    total = weight.sum()
+    share = (onehot * weight[:, None, None]).sum(0) + 1e-3
+    rest = share[:, 1:] / share[:, 1:].sum(1, keepdims=True)
+    pseudo = [trust * total * np.concatenate([np.full((len(rest), 1), b), (1 - b) * rest], 1) + 1e-3 for b in belief]
+    post = np.where((patterns == -1).any(1), 0.1, 0.95)
     for _ in range(rounds):
         logs = []
-        for w in (post * weight, (1 - post) * weight):
-            rule = (onehot * w[:, None, None]).sum(0) + 1
-            logs.append(np.log((w.sum() + 1) / (weight.sum() + 2)) + (onehot * np.log(rule / rule.sum(1, keepdims=True))).sum((1, 2)))
+        for w, given in zip((post * weight, (1 - post) * weight), pseudo):
+            rule = (onehot * w[:, None, None]).sum(0) + given
+            logs.append(np.log((w.sum() + 1) / (total + 2)) + (onehot * np.log(rule / rule.sum(1, keepdims=True))).sum((1, 2)))
         new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -50, 50)))
         if np.abs(new - post).max() < 1e-9:
             break
