@@ -125,6 +125,13 @@ def loop_components(edges: DataFrame) -> DataFrame:
     return both.join(ok, "origin").groupBy("id").agg(F.min("origin").alias("component"))
 
 
+def ring_lanes(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(id, entry, position): each loop's nodes by their steps along loop arcs from its entry, the smallest node."""
+    adj = adjacency(edges).where("kind = 'loop'").select("s", "t")
+    entries = components.select(F.col("component").alias("origin"), F.col("component").alias("id")).distinct()
+    return closure(adj, entries).select("id", F.col("origin").alias("entry"), F.col("depth").alias("position"))
+
+
 def loop_exits(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(component, exits): arcs that leave each loop; a loop with none cannot end."""
     adj = adjacency(edges).select("edge", "s", "t")

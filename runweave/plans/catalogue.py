@@ -40,4 +40,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import event_queries, graph_queries, log_queries, run_queries, scalar_queries, signal_queries  # noqa: F401
+    from . import event_queries, graph_queries, log_queries, patch_queries, run_queries, scalar_queries, signal_queries, stream_queries  # noqa: F401

@@ -5,14 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to spark.checkpoint.dir and read back; a local session without that setting gets a temporary folder."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir; a local session without that setting gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
@@ -20,6 +19,12 @@ def cut(df: DataFrame) -> DataFrame:
         if not _LOCAL:
             _LOCAL.append(tempfile.TemporaryDirectory(prefix="runweave-"))
         root = _LOCAL[0].name
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/loop-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
