@@ -26,7 +26,7 @@ from .common import components, materialize
 
 RARE = 64
 HALF = np.uint64(1 << 63)
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 
 def shingle_info(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -66,7 +66,7 @@ _POST = "bucket int, batch long, parts int, toks binary, at binary, hot binary,
 
 
 def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: int, buckets: int) -> DataFrame:
-    """(tok, id, n): the prefix shingles of every text that occur in two texts or more.
+    """(id, n, toks): the prefix shingles of every text that occur in two texts or more; texts without any are left out.
 
     The order is: hashes below 2^63 by document count, then the others by hash; of the
     latter only as many as the prefix still needs are looked at. A task deals its
@@ -142,7 +142,6 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
         if not len(own) or len(answers) < own.parts.max():
             raise RuntimeError("a batch of texts was dealt out anew while it was counted; run the join on a table")
         # batches of equal content share a name and have equal answers
-        res = [pd.DataFrame({"tok": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})]
         m = own.iloc[0]
         sizes, ids = np.frombuffer(m.sizes, "<i8").reshape(-1, 3), np.frombuffer(m.ids, "<i8")
         n, low, used = sizes.T
@@ -155,6 +154,7 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
         if len(mine):
             o = np.argsort(hot, kind="stable")
             tok.append(mine), doc.append(np.frombuffer(m["at"], "<u2").astype(np.int64)), df.append(hot_df[o][np.searchsorted(hot[o], mine)])
+        rows = []
         if tok:
             tok, doc, df = np.concatenate(tok), np.concatenate(doc), np.concatenate(df)
             order = np.lexsort((tok, df, doc))
@@ -164,15 +164,20 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
             # texts whose prefix goes beyond the lower half use all that was sent
             room = np.where(used > low, have, _prefix(n, percent) - (low - have))
             keep = place < room[doc]
-            res.append(pd.DataFrame({"tok": tok[keep], "id": ids[doc[keep]], "n": n[doc[keep]]}))
-        return pd.concat(res)
+            tok, doc = tok[keep], doc[keep]
+            first = textops.runs(doc)
+            rows = [(ids[d], n[d], t) for d, t in zip(doc[first].tolist(), np.split(tok, first[1:]))]
+        return pd.DataFrame(rows, columns=["id", "n", "toks"])
 
     sent = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).where("id is not null").mapInArrow(send, _POST)
-    return sent.groupBy("bucket").applyInPandas(count, _POST).groupBy("batch").applyInPandas(cut, "tok long, id long, n long")
+    return sent.groupBy("bucket").applyInPandas(count, _POST).groupBy("batch").applyInPandas(cut, "id long, n long, toks array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    """The pairs (a, b) whose sets reach the similarity.
+
+    Merge joins whatever the sizes: neither side has a bound, and a hot b is split.
+    """
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,8 +190,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    p = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    p = p.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+    p = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")).hint("merge"), "a")
+    p = p.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")).hint("merge"), "b").select("a", "b", "sa", "sb")
     return p.mapInArrow(test, "a long, b long")
 
 
@@ -203,16 +208,16 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     nodes = info.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"))
     total = info.agg(F.sum("n")).first()[0] or 0
     post = prefix_postings(docs, key, text, width, percent, max(64, total >> 19))
-    post = post.join(nodes.select(F.col("rep").alias("id")).distinct(), "id").select("tok", "id", "n").distinct()
-    post = materialize(post, "postings")
-    by_tok = post.groupBy("tok").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.min(F.struct("id", "n")).alias("lead")).where("c > 1")
-    classes = by_tok.groupBy("c", "s", "lead").agg(F.min("tok").alias("tok"), F.count("*").alias("mult"))
-    post = materialize(post.join(classes, "tok").select("tok", "id", "n", "c", "mult", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "classes")
+    post = post.join(nodes.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"])
+    post = materialize(post.select("id", "n", F.explode("toks").alias("tok")), "postings")
+    by_tok = post.groupBy("tok").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lead")).where("c > 1")
+    classes = by_tok.groupBy("c", "x", "lead").agg(F.min("tok").alias("tok"), F.count("*").alias("mult"))
+    post = materialize(post.join(classes, "tok").select("tok", "id", "n", "c", "mult", "lead"), "classes")
     near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    sets = docs.join(post.select(F.col("id").alias(key)).distinct(), key, "left_semi")
-    sets = materialize(shingle_blobs(sets, key, text, width).dropDuplicates(["id"]), "sets")
+    sets = docs.join(post.select(F.col("id").alias(key)).distinct().hint("merge"), key, "left_semi").select(key, text).dropDuplicates([key])
+    sets = materialize(shingle_blobs(sets, key, text, width), "sets")
 
-    tries = post.where((F.col("id") != F.col("lead")) & near("n", "lead_n")).groupBy("id", "lead").agg(F.sum("mult").alias("w"))
+    tries = post.where("id <> lead").groupBy("id", "lead").agg(F.sum("mult").alias("w"))
     tries = tries.groupBy("id").agg(F.max(F.struct(F.col("w"), -F.col("lead"))).alias("t")).select(F.col("id").alias("a"), (-F.col("t")["col2"]).alias("b"))
     links = materialize(linked(tries, sets, percent), "links")
     comp = materialize(components(links), "components")

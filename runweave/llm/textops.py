@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _RND = np.random.RandomState(7).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64)
@@ -59,8 +59,12 @@ class Texts:
 
     def _prefix(self, fold: bool) -> np.ndarray:
         if fold not in self._h:
-            t = (_FOLD if fold else _RND)[self.buf] * _power("p", _P, len(self.buf))
-            self._h[fold] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t, dtype=np.uint64)])
+            h = np.empty(len(self.buf) + 1, np.uint64)
+            h[0] = 0
+            np.take(_FOLD if fold else _RND, self.buf, out=h[1:])
+            h[1:] *= _power("p", _P, len(self.buf))
+            np.cumsum(h, out=h)
+            self._h[fold] = h
         return self._h[fold]
 
     def hashes(self, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
