@@ -105,4 +105,4 @@ def liveness(beats: DataFrame, ttl: int, lateness: str = "0 seconds") -> DataFra
         state.setTimeoutTimestamp(max((last + ttl) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "status", "at"])
 
-    return beats.withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(step, "key long, status string, at long", "last long, known boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return beats.withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(step, f"key {dict(beats.dtypes)['key']}, status string, at long", "last long, known boolean", "append", GroupStateTimeout.EventTimeTimeout)
