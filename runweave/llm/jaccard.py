@@ -7,7 +7,9 @@ are frequent, and their pairs are indexed. Shingles with the same documents form
 class and are indexed once.
 
 Only connection is asked for, so candidates are first tried against one earlier document
-each, and afterwards just those pairs whose documents are not connected yet.
+each. What is not connected then is compared in blocks: a task takes two blocks of
+documents with an index key in common, tests the pairs not connected yet and returns
+the links that connect them, so pairs are never rows of a table.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from . import textops
 from .common import components, materialize
 
-RARE = 64
+RARE = 512
+BLOCK = 256
 HALF = np.uint64(1 << 63)
 SLICE = 2_000_000
 
@@ -183,11 +186,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             good = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+                good.append(_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     p = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")).hint("merge"), "a")
@@ -195,6 +194,73 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return p.mapInArrow(test, "a long, b long")
 
 
+def connecting_links(keyed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of documents that share a key; keyed: k, id, n, comp.
+
+    Keys of the same documents count once. A key belongs to its smallest document, the lead;
+    of a lead's documents, those of its largest component are compared with the others and
+    the others among themselves, all in blocks of about BLOCK.
+    """
+    keys = keyed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lead")).where("lo < hi")
+    keys = keys.groupBy("c", "x", "lead").agg(F.min("k").alias("k")).select("k", "lead")
+    members = keyed.join(keys, "k").groupBy("lead", "id").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.collect_set(F.xxhash64("k")).alias("ks"))
+    members = materialize(members, "members")
+    by_comp = members.groupBy("lead", "comp").agg(F.count("*").alias("m"))
+    leads = by_comp.groupBy("lead").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("m"))
+    leads = leads.select("lead", F.col("main.comp").alias("main"), F.ceil(F.col("main.m") / BLOCK).cast("int").alias("nl"), F.ceil((F.col("m") - F.col("main.m")) / BLOCK).cast("int").alias("ns"))
+    d = members.join(leads, "lead").join(sets.hint("merge"), "id").withColumn("h", F.xxhash64("id"))
+    own = F.pmod("h", F.when(F.col("comp") == F.col("main"), F.col("nl")).otherwise(F.col("ns"))).cast("int")
+    d = d.withColumn("own", own)
+    upto = lambda n: F.transform(F.sequence(F.lit(1), F.col(n)), lambda i: i - 1)
+    across = F.transform(upto("ns"), lambda j: F.struct(F.lit(1).alias("t"), F.col("own").alias("i"), j.alias("j")))
+    back = F.transform(upto("nl"), lambda i: F.struct(F.lit(1).alias("t"), i.alias("i"), F.col("own").alias("j")))
+    among = F.transform(upto("ns"), lambda j: F.struct(F.lit(0).alias("t"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    d = d.withColumn("task", F.explode(F.when(F.col("comp") == F.col("main"), across).otherwise(F.concat(back, among))))
+    d = d.select("lead", "task.t", "task.i", "task.j", "own", "id", "n", "comp", (F.col("comp") == F.col("main")).alias("big"), "ks", "set")
+
+    def connect(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id", kind="stable")
+        t, i, j = g.t.iloc[0], g.i.iloc[0], g.j.iloc[0]
+        left = g.big.to_numpy() if t else g.own.to_numpy() == i
+        right = ~g.big.to_numpy() if t else g.own.to_numpy() == j
+        ids, n, comp = g.id.to_numpy(), g.n.to_numpy(), g.comp.to_numpy()
+        blobs = [np.frombuffer(x, np.uint64) for x in g.set]
+        ks = [np.asarray(x, np.int64) for x in g.ks]
+        _, code = np.unique(np.concatenate(ks), return_inverse=True)
+        row = np.repeat(np.arange(len(g)), [len(x) for x in ks])
+        share = np.zeros((len(g), len(g)), bool)
+        for lo in range(0, int(code.max()) + 1, 2048):
+            use = (code >= lo) & (code < lo + 2048)
+            inc = np.zeros((len(g), 2048), np.float32)
+            inc[row[use], code[use] - lo] = 1
+            share |= inc @ inc.T > 0
+        share &= left[:, None] & right[None, :] & (comp[:, None] != comp[None, :])
+        share &= (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None])
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        links = []
+        for a, b in np.argwhere(share).tolist():
+            ra, rb = find(int(comp[a])), find(int(comp[b]))
+            if ra != rb and _similar(blobs[a], blobs[b], percent):
+                root[max(ra, rb)] = min(ra, rb)
+                links.append((ids[a], ids[b]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return d.groupBy("lead", "t", "i", "j").applyInPandas(connect, "a long, b long")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id), one row an input row.
 
@@ -213,7 +279,6 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     by_tok = post.groupBy("tok").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lead")).where("c > 1")
     classes = by_tok.groupBy("c", "x", "lead").agg(F.min("tok").alias("tok"), F.count("*").alias("mult"))
     post = materialize(post.join(classes, "tok").select("tok", "id", "n", "c", "mult", "lead"), "classes")
-    near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     sets = docs.join(post.select(F.col("id").alias(key)).distinct().hint("merge"), key, "left_semi").select(key, text).dropDuplicates([key])
     sets = materialize(shingle_blobs(sets, key, text, width), "sets")
 
@@ -231,12 +296,7 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     other = often.select(F.col("tok").alias("tok2"), F.col("id").alias("id2"))
     combos = often.join(other, (F.col("id") == F.col("id2")) & (F.col("tok") < F.col("tok2"))).select(F.struct(F.col("tok").alias("x"), F.col("tok2").alias("y")).alias("k"), "id", "n", "comp")
     keyed = rare.unionByName(twice).unionByName(combos)
-    split = keyed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-    keyed = keyed.join(split, "k")
-    left = keyed.select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = keyed.select("k", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    more = left.join(right, "k").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("na", "nb")).select("a", "b").distinct()
-    more = materialize(linked(more, sets, percent), "links")
+    more = materialize(connecting_links(keyed, sets, percent), "links")
     final = components(links.union(more))
     out = info.join(nodes, "sig", "left").join(final.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "id").alias("component_id"))

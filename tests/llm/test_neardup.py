@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import docs_frame, odd_rows, words
 
 from runweave.llm import jaccard, vectors
@@ -83,8 +84,10 @@ def test_texts_match_brute_force_on_odd_rows(spark):
     check_texts(spark, [(i, t) for i, t, _ in odd_rows()])
 
 
-def test_frequent_shingles_go_by_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("block", [256, 5])
+def test_frequent_shingles_go_by_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "RARE", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = np.random.RandomState(5)
     shared = [f"p{i}" for i in range(60)]
     rows, k = [], 0
