@@ -155,8 +155,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     quant = Quantizer.fit(x, lists or int(min(4096, max(1, 2 ** round(np.log2(n) / 2)))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for b in (b.slice(i, 4096) for i in range(0, len(b), 4096)):
+        for batch in batches:
+            for start in range(0, len(batch), 4096):
+                b = batch.slice(start, 4096)
                 u = _unit(np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)).astype(np.float32)
                 near = quant.probe(u, probes)
                 codes, miss = quant.encode(u - quant.lists[near[:, 0]])

@@ -62,6 +62,19 @@ def test_few_probes_keep_recall(spark, sf):
     assert all(some[k] <= full[k] for k in full)
 
 
+def test_every_vector_is_indexed(spark):
+    rng = np.random.RandomState(8)
+    base = rng.normal(size=(4500, 8)).astype(np.float32)
+    x = np.concatenate([base, base[:600] + rng.normal(scale=0.1, size=(600, 8)).astype(np.float32)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    full = {r[0]: r[1] for r in vectors.near_vectors(df, lists=6, probes=6).collect()}
+    assert [full[i] for i in range(len(x))] == want.tolist()
+    some = sum(r[1] for r in vectors.near_vectors(df).collect())
+    assert some >= 0.95 * want.sum()
+
+
 def brute_texts(rows, percent=80):
     sets = {}
     for i, t in rows:
