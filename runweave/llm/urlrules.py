@@ -60,7 +60,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     placed = points.join(load, "rh").select("rh", F.pmod(F.xxhash64("host", "path"), F.col("groups")).cast("int").alias("g"), F.concat(reversed_host(F.col("rh")), "path").alias("skey"), "host", "path", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
     opened = stacks.join(load, "rh").select("rh", F.explode(F.expr("sequence(0, groups - 1)")).alias("g"), F.concat(reversed_host(F.col("rh")), "rp").alias("skey"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack")
     sweep = W.partitionBy("rh", "g").orderBy("skey", F.col("host").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    swept = placed.unionByName(opened).withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("host is not null and active is not null")
+    # dealt by both columns: a partitioning by host alone would do for the window, and bring a hot host together again
+    dealt = placed.unionByName(opened).repartition("rh", "g")
+    swept = dealt.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("host is not null and active is not null")
     fits = F.element_at(F.filter("active", lambda x: F.startswith(F.col("path"), x["rp"])), -1)
     swept = swept.where(F.exists("active", lambda x: F.startswith(F.col("path"), x["rp"]))).withColumn("hit", fits)
     best = swept.groupBy("host", "path").agg(F.max(F.struct((F.length("rh") + F.length("hit.rp")).alias("n"), F.length("rh").alias("h"), F.concat("rh", "hit.rp").alias("rule"), F.col("hit.rv").alias("verdict"))).alias("b"))
