@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import textops
 from .common import components, materialize
 
-RARE = 8192
+RARE = 512
 BLOCK = 256
 HALF = np.uint64(1 << 63)
 SLICE = 2_000_000
