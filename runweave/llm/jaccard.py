@@ -3,8 +3,10 @@
 Shingles are ordered rare first by their exact document counts. Two sets as similar as
 asked share at least two shingles among the first |s| - ceil(t|s|) + 2 of each (sets of
 one shingle match only their equals). Either one of those is rare, and is indexed alone, or all
-are frequent, and their pairs are indexed. Shingles with the same documents form one
-class and are indexed once.
+are frequent, and pairs of their classes are indexed. Frequent shingles with the same
+smallest document form one class, as those of one passage mostly do; a class pairs with
+itself where a document has two of its shingles. Rare shingles with the same documents
+are indexed once.
 
 Only connection is asked for, so candidates are first tried against one earlier document
 each. What is not connected then is compared in blocks: a task takes two blocks of
@@ -289,12 +291,13 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     post = post.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
     apart = post.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-    post = materialize(post.join(apart, "tok").select("tok", "id", "n", "c", "mult", "comp"), "apart")
+    post = materialize(post.join(apart, "tok").select("tok", "id", "n", "c", "mult", "lead", "comp"), "apart")
     rare = post.where(F.col("c") <= RARE).select(F.struct(F.col("tok").alias("x"), F.col("tok").alias("y")).alias("k"), "id", "n", "comp")
-    often = post.where(F.col("c") > RARE)
-    twice = often.where("mult > 1").select(F.struct(F.col("tok").alias("x"), F.col("tok").alias("y")).alias("k"), "id", "n", "comp")
-    other = often.select(F.col("tok").alias("tok2"), F.col("id").alias("id2"))
-    combos = often.join(other, (F.col("id") == F.col("id2")) & (F.col("tok") < F.col("tok2"))).select(F.struct(F.col("tok").alias("x"), F.col("tok2").alias("y")).alias("k"), "id", "n", "comp")
+    often = post.where(F.col("c") > RARE).groupBy("id", "lead").agg(F.sum("mult").alias("mult"), F.min("n").alias("n"), F.min("comp").alias("comp"))
+    often = materialize(often, "often")
+    twice = often.where("mult > 1").select(F.struct(F.col("lead").alias("x"), F.col("lead").alias("y")).alias("k"), "id", "n", "comp")
+    other = often.select(F.col("lead").alias("lead2"), F.col("id").alias("id2"))
+    combos = often.join(other, (F.col("id") == F.col("id2")) & (F.col("lead") < F.col("lead2"))).select(F.struct(F.col("lead").alias("x"), F.col("lead2").alias("y")).alias("k"), "id", "n", "comp")
     keyed = rare.unionByName(twice).unionByName(combos)
     more = materialize(connecting_links(keyed, sets, percent), "links")
     final = components(links.union(more))
