@@ -1,9 +1,9 @@
 """Quality by weak supervision: rules vote or abstain, EM estimates their accuracies.
 
 The votes of all texts are reduced to counts of vote patterns (at most 3^rules, a
-fixed bound); expectation-maximisation on those counts gives each rule's accuracy and
-each pattern's probability of good quality, which then decides instead of
-"every rule must pass".
+fixed bound); expectation-maximisation on those counts gives each rule's rates on bad
+texts and each pattern's probability of good quality, which then decides. Its rates on
+good texts are given by hand, so the verdict is close to "every rule must pass".
 """
 
 from __future__ import annotations
@@ -115,15 +115,19 @@ def rule_votes() -> dict[str, Column]:
 
 #: what is believed of a rule before any text is seen: how often it calls a good and a bad text bad
 BELIEF = (0.0005, 0.05)
+#: the weight of that belief for good and for bad texts, as a multiple of the number of texts. Set by
+#: hand: that rules hardly ever call a good text bad is given, not learned (README says what EM alone does)
+TRUST = (10.0, 0.01)
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, belief: tuple[float, float] = BELIEF, trust: float = 1.0, rounds: int = 200) -> np.ndarray:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, belief: tuple[float, float] = BELIEF, trust: float | tuple[float, float] = TRUST, rounds: int = 1000) -> np.ndarray:
     """Posterior probability of good for each vote pattern.
 
     Conditionally independent rules, each with its own chances of voting good, bad or
     nothing on good and on bad texts, and a prior. The belief enters as pseudo-counts, `trust`
-    times the number of texts for each rule and class, and fixes which class is the good one;
-    EM then moves every rule's accuracy to what its agreement with the others shows.
+    (of good and of bad texts, or one number for both) times the number of texts for each rule.
+    With TRUST the good class keeps the rates it is given, and EM learns what each rule
+    does on bad texts and how many of them there are.
     """
     if not len(patterns):
         return np.zeros(0)
@@ -132,7 +136,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, belief: tuple[float, flo
     total = weight.sum()
     share = (onehot * weight[:, None, None]).sum(0) + 1e-3
     rest = share[:, 1:] / share[:, 1:].sum(1, keepdims=True)
-    pseudo = [trust * total * np.concatenate([np.full((len(rest), 1), b), (1 - b) * rest], 1) + 1e-3 for b in belief]
+    pseudo = [t * total * np.concatenate([np.full((len(rest), 1), b), (1 - b) * rest], 1) + 1e-3 for b, t in zip(belief, np.broadcast_to(trust, 2))]
     post = np.where((patterns == -1).any(1), 0.1, 0.95)
     for _ in range(rounds):
         logs = []

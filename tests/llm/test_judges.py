@@ -40,6 +40,34 @@ def test_votes_separate_planted_classes():
     assert quality.fit_votes(np.zeros((0, 3)), np.zeros(0)).shape == (0,)
 
 
+@pytest.mark.parametrize("junk", [0.05, 0.16, 0.5])
+def test_production_votes_learn_the_share_and_rates_of_bad_texts(junk):
+    rng = np.random.RandomState(2)
+    good = rng.rand(20_000) >= junk
+    two_sided = np.arange(8) < 3
+    votes = np.where(rng.rand(20_000, 8) < 0.95, two_sided * 1, 0)
+    hit = rng.rand(20_000, 8) < [0.02, 0.3, 0.5, 0.5, 0.3, 0.25, 0.15, 0.25]
+    votes = np.where(good[:, None], votes, np.where(hit, -1, votes))
+    patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post = quality.fit_votes(patterns, counts)
+    assert abs(post @ counts / counts.sum() - good.mean()) < 0.03
+    assert ((post[back.ravel()] >= 0.5) == good).mean() > 0.94
+
+
+@pytest.mark.parametrize("junk", [0.05, 0.16, 0.5])
+def test_quality_at_other_shares_of_junk(spark, junk):
+    sf = "/root/testdata/sf0.01"
+    m = quality.measure_texts(table(spark, sf, "documents")).join(table(spark, sf, "labels").where("quality is not null"), "doc_id")
+    pdf = frame(m.select("quality", *[v.alias(k) for k, v in quality.rule_votes().items()]))
+    votes, y = pdf[list(quality.rule_votes())].to_numpy(), pdf.quality.to_numpy() == 1
+    patterns, back = np.unique(votes, axis=0, return_inverse=True)
+    weight = np.where(y, (1 - junk) / y.mean(), junk / (~y).mean())
+    post = quality.fit_votes(patterns, np.bincount(back.ravel(), weights=weight))
+    assert (post[back.ravel()][y] >= 0.5).mean() > 0.95
+    assert (post[back.ravel()][~y] >= 0.5).mean() < 0.05
+    assert abs((post[back.ravel()] * weight).sum() / weight.sum() - (1 - junk)) < 0.06
+
+
 def test_quality_query_keeps_good_and_drops_junk(spark):
     sf = "/root/testdata/sf0.01"
     pdf = frame(queries.op5_quality_votes(spark, sf)).merge(frame(table(spark, sf, "labels")), on="doc_id")
