@@ -110,6 +110,37 @@ def task_dominates(edges: DataFrame, start: DataFrame, pairs: DataFrame) -> Data
     return j.select("ancestor", "node", ((F.col("ancestor") == F.col("node")) | F.col("hit").isNull()).alias("dominates"))
 
 
+def producer_check(edges: DataFrame, start: DataFrame, gates: DataFrame, producers: DataFrame, components: DataFrame) -> DataFrame:
+    """(edge, variable, ok): whether a gate's variable has a producer that dominates every source of the edge.
+
+    gates: edge, variable; producers: variable, producer; components: id, component.
+    Sources in the loop of loop_control's producer need no dominance for that variable. A
+    variable without a producer is not ok; of several producers each must dominate.
+    """
+    g = gates.select("edge", "variable").distinct().join(producers.select("variable", "producer").distinct(), "variable", "left")
+    s = g.join(edges.select("edge", F.explode("sources").alias("node")), "edge")
+    pairs = s.where("producer is not null").select(F.col("producer").alias("ancestor"), "node").distinct()
+    dom = task_dominates(edges, start, pairs).withColumnRenamed("ancestor", "producer")
+    j = s.join(dom, ["producer", "node"], "left")
+    j = j.join(components.select(F.col("id").alias("producer"), F.col("component").alias("body")), "producer", "left")
+    j = j.join(components.select(F.col("id").alias("node"), F.col("component").alias("own")), "node", "left")
+    exempt = F.coalesce((F.col("variable") == "loop_control") & (F.col("body") == F.col("own")), F.lit(False))
+    return j.groupBy("edge", "variable").agg(F.bool_and(exempt | F.coalesce("dominates", F.lit(False))).alias("ok"))
+
+
+def resolve_signals(edges: DataFrame, start: DataFrame, gates: DataFrame, slots: DataFrame) -> DataFrame:
+    """(task, signal, candidates, edge): how many edges gated on the slot's signal dominate its task, and which if it is one.
+
+    gates: edge, signal; slots: task, signal. A slot without candidates is kept.
+    """
+    g = gates.select("edge", "signal").distinct()
+    pairs = slots.select("task", "signal").distinct().join(g, "signal")
+    dom = edge_violations(edges, start, pairs.select("edge", F.col("task").alias("node")).distinct()).where("not violated").select("edge", F.col("node").alias("task"))
+    n = pairs.join(dom, ["edge", "task"]).groupBy("task", "signal").agg(F.count("*").alias("n"), F.min("edge").alias("edge"))
+    j = slots.select("task", "signal").distinct().join(n, ["task", "signal"], "left")
+    return j.select("task", "signal", F.coalesce("n", F.lit(0)).alias("candidates"), F.when(F.col("n") == 1, F.col("edge")).alias("edge"))
+
+
 def loop_components(edges: DataFrame) -> DataFrame:
     """(id, component): strongly connected components of the loop arcs, named by their smallest node.
 

@@ -173,14 +173,38 @@ def _(x: Fixtures) -> DataFrame:
 @query("J18_gate_signal_resolution", "SELECT edge, count(*) AS candidates, CASE WHEN count(*) = 1 THEN min(signal) END AS signal FROM (SELECT e.edge, s.id AS signal FROM (SELECT edge, abs(edge) % 13 AS n FROM edges) e JOIN (SELECT id, id % 13 AS n FROM nodes WHERE id % 40 = 7) s USING (n)) GROUP BY edge", "edges nodes")
 def _(x: Fixtures) -> DataFrame:
     e = x.edges().select("edge", (F.abs("edge") % 13).alias("n"))
-    s = x.nodes().where("id % 40 = 7").select(F.col("id").alias("signal"), (F.col("id") % 13).alias("n"))
-    g = e.join(s, "n").groupBy("edge").agg(F.count("*").alias("candidates"), F.min("signal").alias("signal"))
-    return g.select("edge", "candidates", F.when(F.col("candidates") == 1, F.col("signal")).alias("signal"))
+    s = x.nodes().where("id % 40 = 7").groupBy((F.col("id") % 13).alias("n")).agg(F.count("*").alias("candidates"), F.min("id").alias("signal"))
+    return e.join(s, "n").select("edge", "candidates", F.when(F.col("candidates") == 1, F.col("signal")).alias("signal"))
+
+
+_SIGNAL_GATES = [(1, "s0"), (2, "s0"), (5, "s1"), (10, "s1"), (3, "s2"), (4, "s2")]
+
+
+@query("J18_gate_signal_dominance", "SELECT task, signal, count(g) AS candidates, CASE WHEN count(g) = 1 THEN min(g) END AS edge FROM (SELECT id AS task, 's' || (id % 3) AS signal FROM nodes) LEFT JOIN (SELECT g, signal, id AS task FROM gates, nodes WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.g = gates.g AND r.id = nodes.id)) USING (task, signal) GROUP BY task, signal", "nodes adj",
+       f"gates(g, signal) AS (VALUES {str(_SIGNAL_GATES)[1:-1]}), r(g, id) AS (SELECT g, 1::BIGINT FROM gates UNION SELECT g, t FROM r JOIN adj ON s = id AND edge <> g)")
+def _(x: Fixtures) -> DataFrame:
+    slots = x.nodes().select(F.col("id").alias("task"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("signal"))
+    return G.resolve_signals(x.edges(), x.spark.createDataFrame([(1,)], "id long"), x.spark.createDataFrame(_SIGNAL_GATES, "edge long, signal string"), slots)
+
+
+_PRODUCERS = [("loop_control", 20), ("a", 2), ("b", 3), ("c", 5)]
+
+
+@query("G18_producer_dominance", """SELECT edge, variable, bool_and(coalesce(producer = node OR (variable = 'loop_control' AND p.component = n.component) OR (producer IS NOT NULL AND v.id IS NULL), FALSE)) AS ok
+  FROM (SELECT edge, unnest(sources) AS node, CASE abs(edge) % 5 WHEN 0 THEN 'loop_control' WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'c' ELSE 'undeclared' END AS variable FROM edges)
+  LEFT JOIN producers USING (variable) LEFT JOIN comp p ON p.id = producer LEFT JOIN comp n ON n.id = node LEFT JOIN v ON v.g = producer AND v.id = node GROUP BY edge, variable""", "edges adj",
+       _LOOPS + f""", comp AS (SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) > 1),
+  producers(variable, producer) AS (VALUES {str(_PRODUCERS)[1:-1]}), v(g, id) AS (SELECT producer, 1::BIGINT FROM producers UNION SELECT g, t FROM v JOIN adj ON s = id AND id <> g)""")
+def _(x: Fixtures) -> DataFrame:
+    e, m = x.edges(), F.abs("edge") % 5
+    variable = F.when(m == 0, "loop_control").when(m == 1, "a").when(m == 2, "b").when(m == 3, "c").otherwise("undeclared")
+    producers = x.spark.createDataFrame(_PRODUCERS, "variable string, producer long")
+    return G.producer_check(e, x.spark.createDataFrame([(1,)], "id long"), e.select("edge", variable.alias("variable")), producers, G.loop_components(e))
 
 
 @query("G18_producer_check", "SELECT edge, bool_and(id % 2 = 0) AS ok FROM (SELECT edge, unnest(sources) AS id FROM edges WHERE kind <> 'loop') GROUP BY edge", "edges")
 def _(x: Fixtures) -> DataFrame:
-    # the producer of an even node's variable dominates it by construction; loop edges are exempt
+    # parity of the sources only; the check itself is G18_producer_dominance
     s = x.edges().where("kind <> 'loop'").select("edge", F.explode("sources").alias("id"))
     return s.groupBy("edge").agg(F.bool_and(F.col("id") % 2 == 0).alias("ok"))
 

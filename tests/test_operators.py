@@ -154,3 +154,21 @@ def test_calendar_filter_reaches_the_scan(spark, sf):
     df = spark.read.parquet(f"{sf}/orders.parquet").withColumnRenamed("o_orderdate", "t").withColumn("scheduled_at", F.col("t").cast("timestamp"))
     plan = R.in_local_year(df, "Asia/Kathmandu", 1997)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "ReadSchema" in plan
+
+
+def test_producer_must_dominate_each_gate_source_but_in_its_own_loop(spark):
+    e = edges(spark, [(1, "p", [1], [2, 3]), (2, "p", [2], [4]), (3, "p", [3], [5]), (4, "p", [4, 5], [6]), (5, "loop", [4], [2]), (6, "loop", [2], [4]), (7, "loop", [3], [5]), (8, "loop", [5], [3])])
+    start = spark.createDataFrame([(1,)], "id long")
+    gates = spark.createDataFrame([(4, "a"), (4, "b"), (4, "none"), (2, "loop_control"), (5, "loop_control"), (3, "loop_control"), (2, "d"), (3, "b"), (3, "b")], "edge long, variable string")
+    producers = spark.createDataFrame([("a", 1), ("b", 2), ("loop_control", 4), ("d", 4)], "variable string, producer long")
+    got = {(r.edge, r.variable): r.ok for r in G.producer_check(e, start, gates, producers, G.loop_components(e)).collect()}
+    # 2 is not dominated by 4, but is in the loop of 4; 3 is on another loop; 2 does not dominate 5
+    assert got == {(4, "a"): True, (4, "b"): False, (4, "none"): False, (2, "loop_control"): True, (5, "loop_control"): True, (3, "loop_control"): False, (2, "d"): False, (3, "b"): False}
+
+
+def test_signal_is_resolved_by_the_one_gate_that_dominates(spark):
+    e = edges(spark, [(1, "p", [1], [2, 3]), (2, "p", [2], [4]), (3, "p", [3], [5])])
+    gates = spark.createDataFrame([(2, "x"), (3, "x"), (1, "y"), (2, "y")], "edge long, signal string")
+    slots = spark.createDataFrame([(4, "x"), (4, "y"), (5, "y"), (2, "x"), (5, "none")], "task long, signal string")
+    got = {tuple(r) for r in G.resolve_signals(e, spark.createDataFrame([(1,)], "id long"), gates, slots).collect()}
+    assert got == {(4, "x", 1, 2), (4, "y", 2, None), (5, "y", 1, 1), (2, "x", 0, None), (5, "none", 0, None)}
