@@ -166,7 +166,7 @@ def ring_lanes(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def loop_exits(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """(component, exits): arcs that leave each loop; a loop with none cannot end."""
+    """(component, exits): edges that leave each loop; a loop with none cannot end. Their gates are tested by `loop_terminable`."""
     adj = adjacency(edges).select("edge", "s", "t")
     a = components.select(F.col("id").alias("s"), "component")
     b = components.select(F.col("id").alias("t"), F.col("component").alias("other"))
@@ -174,6 +174,21 @@ def loop_exits(edges: DataFrame, components: DataFrame) -> DataFrame:
     return components.select("component").distinct().join(out.groupBy("component").agg(F.count_distinct("edge").alias("n")), "component", "left").select("component", F.coalesce("n", F.lit(0)).alias("exits"))
 
 
+def loop_terminable(edges: DataFrame, components: DataFrame, gates: DataFrame) -> DataFrame:
+    """(component, exits, ungated, terminable): a loop can end if an edge leaves it and each one that does is gated on loop_control.
+
+    gates: edge, variable.
+    """
+    adj = adjacency(edges).select("edge", "s", "t")
+    a = components.select(F.col("id").alias("s"), "component")
+    b = components.select(F.col("id").alias("t"), F.col("component").alias("other"))
+    out = adj.join(a, "s").join(b, "t", "left").where("other is null or other <> component").select("component", "edge").distinct()
+    gated = gates.where("variable = 'loop_control'").select("edge", F.lit(True).alias("gated")).distinct()
+    n = out.join(gated, "edge", "left").groupBy("component").agg(F.count("*").alias("n"), F.count_if(F.col("gated").isNull()).alias("u"))
+    j = components.select("component").distinct().join(n, "component", "left").select("component", F.coalesce("n", F.lit(0)).alias("exits"), F.coalesce("u", F.lit(0)).alias("ungated"))
+    return j.withColumn("terminable", (F.col("exits") > 0) & (F.col("ungated") == 0))
+
+
 def seal(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """Arcs that close a body: from start (id 0) to tasks nothing enters, from tasks nothing leaves to end (id -1).
 
@@ -252,10 +267,18 @@ def frontier_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return a.join(ok, "s", "left_semi").join(never, "t", "left_semi").select("edge", "s", "t")
 
 
-def firing(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(edge, fires): every source succeeded and every gate is satisfied (gates: the edge's own flag)."""
+def firing(edges: DataFrame, nodes: DataFrame, gates: DataFrame | None = None) -> DataFrame:
+    """(edge, fires): every source succeeded and every gate is satisfied.
+
+    gates: edge, satisfied (null: not yet); an edge without gates needs its sources only, and
+    without the table no edge has gates.
+    """
     s = edges.select("edge", F.explode("sources").alias("id")).join(nodes.select("id", "ground"), "id", "left")
-    return s.groupBy("edge").agg(F.bool_and(F.coalesce(F.col("ground") == "success", F.lit(False))).alias("fires"))
+    ok = s.groupBy("edge").agg(F.bool_and(F.coalesce(F.col("ground") == "success", F.lit(False))).alias("fires"))
+    if gates is None:
+        return ok
+    g = gates.groupBy("edge").agg(F.bool_and(F.coalesce("satisfied", F.lit(False))).alias("open"))
+    return ok.join(g, "edge", "left").select("edge", (F.col("fires") & F.coalesce("open", F.lit(True))).alias("fires"))
 
 
 def nearest_ancestor(parents: DataFrame, complete: DataFrame) -> DataFrame:

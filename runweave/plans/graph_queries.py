@@ -75,6 +75,15 @@ def _(x: Fixtures) -> DataFrame:
     return G.loop_exits(x.edges(), G.loop_components(x.edges()))
 
 
+@query("G10_loop_terminable", """SELECT component, count(edge) AS exits, count(edge) FILTER (edge % 3 <> 0) AS ungated, count(edge) > 0 AND count(edge) FILTER (edge % 3 <> 0) = 0 AS terminable
+  FROM (SELECT DISTINCT c.component, CASE WHEN d.component IS NULL OR d.component <> c.component THEN edge END AS edge FROM comp c LEFT JOIN adj ON s = c.id LEFT JOIN comp d ON d.id = t) GROUP BY component""", "adj",
+       _LOOPS + ", comp AS (SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) > 1)")
+def _(x: Fixtures) -> DataFrame:
+    e = x.edges()
+    gates = e.select("edge", F.when(F.col("edge") % 3 == 0, "loop_control").otherwise("a").alias("variable"))
+    return G.loop_terminable(e, G.loop_components(e), gates)
+
+
 @query("G9_seal", "SELECT 0 AS s, id AS t FROM nodes WHERE id NOT IN (SELECT t FROM adj WHERE kind <> 'loop') UNION ALL SELECT id, -1 FROM nodes WHERE id NOT IN (SELECT s FROM adj WHERE kind <> 'loop')", "nodes adj")
 def _(x: Fixtures) -> DataFrame:
     return G.seal(x.nodes().select("id", F.col("id").alias("position")), x.edges())
@@ -146,6 +155,15 @@ def _(x: Fixtures) -> DataFrame:
     return G.firing(x.edges(), x.nodes())
 
 
+@query("G22_gated_edge_firing", """SELECT edge, bool_and(coalesce(ground = 'success', FALSE)) AND edge % 4 NOT IN (1, 2) AS fires FROM (SELECT edge, unnest(sources) AS id FROM edges WHERE kind = 'plain') LEFT JOIN nodes USING (id) GROUP BY edge""", "edges nodes")
+def _(x: Fixtures) -> DataFrame:
+    # of each four edges one has no gate, one a closed and an open one, one a gate not judged yet, one an open gate
+    e = x.edges().where("kind = 'plain'")
+    m = F.col("edge") % 4
+    has = F.when(m == 1, F.array(F.lit(True), F.lit(False))).when(m == 2, F.array(F.lit(None).cast("boolean"))).when(m == 3, F.array(F.lit(True)))
+    return G.firing(e, x.nodes(), e.select("edge", F.explode(has).alias("satisfied")))
+
+
 @query("J15_edge_end_names", "SELECT edge, s, t, a.p_name AS source, b.p_name AS target FROM adj LEFT JOIN nodes a ON a.id = s LEFT JOIN nodes b ON b.id = t", "nodes adj")
 def _(x: Fixtures) -> DataFrame:
     n = x.nodes()

@@ -172,3 +172,13 @@ def test_signal_is_resolved_by_the_one_gate_that_dominates(spark):
     slots = spark.createDataFrame([(4, "x"), (4, "y"), (5, "y"), (2, "x"), (5, "none")], "task long, signal string")
     got = {tuple(r) for r in G.resolve_signals(e, spark.createDataFrame([(1,)], "id long"), gates, slots).collect()}
     assert got == {(4, "x", 1, 2), (4, "y", 2, None), (5, "y", 1, 1), (2, "x", 0, None), (5, "none", 0, None)}
+
+
+def test_unsatisfied_gate_stops_an_edge_and_ungated_exit_stops_a_loop(spark):
+    e = edges(spark, [(1, "p", [1], [2]), (2, "p", [2], [3]), (3, "p", [2], [4]), (4, "loop", [2], [5]), (5, "loop", [5], [2]), (6, "p", [5], [3]), (7, "loop", [8], [8]), (8, "loop", [9], [9]), (9, "p", [9], [3])])
+    nodes = spark.createDataFrame([(1, "success"), (2, "success"), (5, "failed")], "id long, ground string")
+    gates = spark.createDataFrame([(1, True), (2, True), (2, False), (3, None), (6, True)], "edge long, satisfied boolean")
+    assert {r.edge for r in G.firing(e, nodes, gates).collect() if r.fires} == {1, 4}
+    control = spark.createDataFrame([(2, "loop_control"), (3, "loop_control"), (6, "a"), (9, "loop_control"), (9, "a")], "edge long, variable string")
+    got = {tuple(r) for r in G.loop_terminable(e, G.loop_components(e), control).collect()}
+    assert got == {(2, 3, 1, False), (8, 0, 0, False), (9, 1, 0, True)}
