@@ -133,19 +133,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, key: str =
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(cut, schema)
 
 
-def fill_patterns(counts: np.ndarray, limit: int, most: int = 60_000) -> np.ndarray:
-    """Rows of three lengths (0: none) that fill a sequence exactly and occur in the histogram."""
+def fill_patterns(counts: np.ndarray, limit: int) -> np.ndarray:
+    """All rows of two or three lengths (0: none) that fill a sequence exactly and occur in the histogram.
+
+    At most about limit^2 / 12 rows, whatever the number of texts.
+    """
     have = np.flatnonzero(counts[:limit])
     have = have[have > 0]
     there = counts > 0
     two = have[(have <= limit - have) & there[limit - have]]
     rows = [np.stack([limit - two, two, np.zeros_like(two)], 1)]
-    step = max(1, int(len(have) ** 2 / 6 / most))
     a = have[have >= limit // 3]
-    for k, x in enumerate(a.tolist()):
+    for x in a.tolist():
         rest = limit - x
         y = have[(have <= x) & (have * 2 >= rest) & (have < rest)]
-        y = y[k % step :: step]
         y = y[there[rest - y]]
         if len(y):
             rows.append(np.stack([np.full_like(y, x), y, rest - y], 1))

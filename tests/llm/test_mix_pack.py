@@ -118,3 +118,12 @@ def test_plan_uses_each_length_as_often_as_counted():
         n = sum(q for q, _ in groups)
         least = max(-(-shape.sum() // 128), (shape > 64).sum())
         assert n <= least * 1.03 + 1
+
+
+def test_every_pattern_of_three_lengths_is_enumerated():
+    limit = 2048
+    rows = packing.fill_patterns(np.ones(limit + 1, np.int64), limit)
+    assert (rows.sum(1) == limit).all()
+    found = {tuple(sorted(r)) for r in rows.tolist()}
+    assert len(found) == len(rows)
+    assert found == {(a, b, limit - a - b) for a in range(limit // 3 + 1) for b in range(max(a, 1), (limit - a) // 2 + 1)}
