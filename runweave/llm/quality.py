@@ -1,9 +1,10 @@
 """Quality by weak supervision: rules vote or abstain, EM estimates their accuracies.
 
-The votes of all texts are reduced to counts of vote patterns (at most 3^rules, a
-fixed bound); expectation-maximisation on those counts gives each rule's rates on bad
-texts and each pattern's probability of good quality, which then decides. Its rates on
-good texts are given by hand, so the verdict is close to "every rule must pass".
+The votes of all texts are reduced to counts of vote patterns (at most 3^rules, a fixed
+bound); expectation-maximisation on those counts estimates how often each rule is right
+on good and on bad texts and each pattern's probability of good quality, which decides.
+Rules overlap on purpose: a text is called bad when rules that the data shows to agree
+call it bad together, not because one of them does.
 """
 
 from __future__ import annotations
@@ -18,13 +19,18 @@ from pyspark.sql import functions as F
 from . import textops
 from .common import materialize
 
-_SYMBOL, _UPPER, _LETTER, _STOP = (np.zeros(256, bool) for _ in range(4))
+_SYMBOL, _UPPER, _LETTER, _ALPHA, _STOP, _PUNCT = (np.zeros(256, bool) for _ in range(6))
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER[65:91] = True
 _LETTER[65:91] = _LETTER[97:123] = True
+# of a code point outside ASCII the first byte counts, as a letter
+_ALPHA[:] = _LETTER
+_ALPHA[192:] = True
 _STOP[list(b".!?")] = True
+_PUNCT[33:127] = True
+_PUNCT[48:58] = _PUNCT[65:91] = _PUNCT[97:123] = False
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_ends", "n_same", "n_lines"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_alpha", "n_ends", "n_same", "n_lines", "n_lettered", "n_runs", "n_distinct"]
 
 
 def _repeated(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +65,14 @@ def _measure(t: textops.Texts) -> list[np.ndarray]:
     same = (wh[1:] == wh[:-1]) & (d[1:] == d[:-1]) if len(wh) else np.zeros(0, bool)
     last = np.zeros(len(b), bool)
     last[e - 1] = True
+    alpha = _ALPHA[b]
+    upto = np.concatenate([[0], np.cumsum(alpha)])
+    again = np.zeros(len(b), bool)
+    again[1:] = (b[1:] == b[:-1]) & _PUNCT[b[1:]]
+    again[t.off[:-1][t.off[:-1] < len(b)]] = False
+    runs = again.copy()
+    runs[1:] &= ~again[:-1]
+    known, _ = _repeated(d, wh)
     return [
         np.bincount(d, minlength=t.n),
         t.per_text(~space & ((b & 0xC0) != 0x80)),
@@ -67,9 +81,13 @@ def _measure(t: textops.Texts) -> list[np.ndarray]:
         repeat,
         t.per_text(_UPPER[b]),
         t.per_text(_LETTER[b]),
+        t.per_text(alpha),
         t.per_text(last & _STOP[b]),
         np.bincount(d[1:][same], minlength=t.n) if len(wh) else np.zeros(t.n, np.int64),
         np.bincount(ld, minlength=t.n),
+        np.bincount(d[upto[e] > upto[s]], minlength=t.n),
+        t.per_text(runs),
+        np.bincount(d[~known], minlength=t.n),
     ]
 
 
@@ -87,67 +105,75 @@ def measure_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(run, schema)
 
 
-def _vote(bad: Column, good: Column | None = None) -> Column:
-    v = F.when(bad, -1)
-    return (v if good is None else v.when(good, 1)).otherwise(0)
+def _vote(bad: Column, good: Column) -> Column:
+    return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
 def rule_votes() -> dict[str, Column]:
-    """Votes by name: 1 good, -1 bad, 0 abstains. Ratios are in units of the text's own words.
+    """Votes by name: 1 good, -1 bad, 0 abstains.
 
-    Most rules know one kind of junk and abstain otherwise: that a text is not of that
-    kind is no sign of quality.
+    Each rule calls a text good where its measure is usual for prose, bad where it is far
+    from that, and abstains between. The bounds are round numbers of the kind published
+    filters for web text use; n_ is per text, mean and shares are of its own words,
+    characters or lines. Every rule abstains on texts without words, but length.
     """
     c = F.col
     n = F.greatest(c("n_words"), F.lit(1))
+    lines, chars = F.greatest(c("n_lines"), F.lit(1)), F.greatest(c("word_chars"), F.lit(1))
     mean = c("word_chars") / n
-    return {
-        "length": _vote(c("n_words") < 20, c("n_words") >= 50),
-        "word_length": _vote((mean < 2.5) | (mean > 12), (mean >= 3.5) & (mean <= 6.5)),
-        "symbols": _vote(c("n_symbols") * 10 > n),
-        "windows": _vote(c("n_repeat_words") * 100 > n * 30),
-        "lines": _vote(c("n_dup_lines") * 2 > F.greatest(c("n_lines"), F.lit(1))),
-        "capitals": _vote(c("n_upper") * 10 > c("n_letters") * 4),
-        "sentences": _vote(c("n_ends") * 100 < n, (c("n_ends") * 25 >= n) & (c("n_ends") * 3 <= n)),
-        "stutter": _vote(c("n_same") * 5 > n),
+    some = c("n_words") > 0
+    votes = {
+        "word_length": _vote((mean < 3) | (mean > 10), (mean >= 3.5) & (mean <= 8)),
+        "symbols": _vote(c("n_symbols") * 10 > n, c("n_symbols") * 50 <= n),
+        "windows": _vote(c("n_repeat_words") * 100 > n * 20, c("n_repeat_words") * 100 <= n * 5),
+        "lines": _vote(c("n_dup_lines") * 10 > lines * 3, c("n_dup_lines") * 10 <= lines),
+        "capitals": _vote(c("n_upper") * 10 > c("n_letters") * 3, c("n_upper") * 10 <= c("n_letters")),
+        "sentences": _vote((c("n_ends") * 80 < n) | (c("n_ends") * 2 > n), (c("n_ends") * 40 >= n) & (c("n_ends") * 3 <= n)),
+        "stutter": _vote(c("n_same") * 10 > n, c("n_same") * 50 <= n),
+        "lettered": _vote(c("n_lettered") * 10 < n * 8, c("n_lettered") * 20 >= n * 19),
+        "letters": _vote(c("n_alpha") * 10 < chars * 8, c("n_alpha") * 10 >= chars * 9),
+        "runs": _vote(c("n_runs") * 10 > n, c("n_runs") * 50 <= n),
+        "variety": _vote(c("n_distinct") * 5 < F.least(n, F.lit(500)), c("n_distinct") * 3 >= F.least(n, F.lit(500))),
     }
+    return {"length": _vote(c("n_words") < 20, c("n_words") >= 50)} | {k: F.when(some, v).otherwise(0) for k, v in votes.items()}
 
 
-#: what is believed of a rule before any text is seen: how often it calls a good and a bad text bad
-BELIEF = (0.0005, 0.05)
-#: the weight of that belief for good and for bad texts, as a multiple of the number of texts. Set by
-#: hand: that rules hardly ever call a good text bad is given, not learned (README says what EM alone does)
-TRUST = (10.0, 0.01)
+#: what is believed of every rule before any text is seen, as numbers of (bad, good) votes on good texts and on bad ones of each kind
+BELIEF = ((1.0, 9.0), (1.0, 1.0))
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, belief: tuple[float, float] = BELIEF, trust: float | tuple[float, float] = TRUST, rounds: int = 1000) -> np.ndarray:
-    """Posterior probability of good for each vote pattern.
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, belief: tuple = BELIEF, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray, float]:
+    """(probability of good for each vote pattern, chance of each rule's vote being bad on (good, bad) texts, share of good).
 
-    Conditionally independent rules, each with its own chances of voting good, bad or
-    nothing on good and on bad texts, and a prior. The belief enters as pseudo-counts, `trust`
-    (of good and of bad texts, or one number for both) times the number of texts for each rule.
-    With TRUST the good class keeps the rates it is given, and EM learns what each rule
-    does on bad texts and how many of them there are.
+    Good texts are one class; bad ones are of several kinds, as many as there are rules, of
+    which those the data does not ask for die out. Within a class the rules vote
+    independently, each with its own chance of a bad vote; whether a rule abstains says
+    nothing. The belief counts as that many single votes, so any corpus outweighs it. EM
+    starts from the agreement of rules: patterns with two bad votes or more are spread over
+    the kinds of their rules, the others are good. One bad vote alone is then bad only if
+    the texts of a kind are seen to draw it, and a rule that errs on good texts is found out.
     """
+    k = patterns.shape[1]
     if not len(patterns):
-        return np.zeros(0)
-    onehot = np.stack([patterns == v for v in (-1, 0, 1)], -1).astype(float)
+        return np.zeros(0), np.full((k, 2), 0.5), 0.5
+    bad, good = (patterns == -1).astype(float), (patterns == 1).astype(float)
     weight = counts.astype(float)
-    total = weight.sum()
-    share = (onehot * weight[:, None, None]).sum(0) + 1e-3
-    rest = share[:, 1:] / share[:, 1:].sum(1, keepdims=True)
-    pseudo = [t * total * np.concatenate([np.full((len(rest), 1), b), (1 - b) * rest], 1) + 1e-3 for b, t in zip(belief, np.broadcast_to(trust, 2))]
-    post = np.where((patterns == -1).any(1), 0.1, 0.95)
+    agree = bad.sum(1) >= 2
+    member = np.concatenate([np.where(agree, 0.05, 0.95)[:, None], np.where(agree[:, None], bad / np.maximum(bad.sum(1), 1)[:, None] * 0.95, 0.05 / k)], 1)
+    prior = np.array([belief[0]] + [belief[1]] * k)
     for _ in range(rounds):
-        logs = []
-        for w, given in zip((post * weight, (1 - post) * weight), pseudo):
-            rule = (onehot * w[:, None, None]).sum(0) + given
-            logs.append(np.log((w.sum() + 1) / (total + 2)) + (onehot * np.log(rule / rule.sum(1, keepdims=True))).sum((1, 2)))
-        new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -50, 50)))
-        if np.abs(new - post).max() < 1e-9:
+        w = member * weight[:, None]
+        no, yes = w.T @ bad + prior[:, :1], w.T @ good + prior[:, 1:]
+        rate, share = no / (no + yes), (w.sum(0) + 1) / (weight.sum() + k + 1)
+        logs = bad @ np.log(rate.T) + good @ np.log(1 - rate.T) + np.log(share)
+        new = np.exp(logs - logs.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
+        done = np.abs(new - member).max() < 1e-9
+        member = new
+        if done:
             break
-        post = new
-    return post
+    kinds = share[1:] / share[1:].sum()
+    return member[:, 0], np.stack([rate[0], kinds @ rate[1:]], 1), float(share[0])
 
 
 def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_at: float = 0.5) -> DataFrame:
@@ -162,7 +188,7 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", keep
     found = sorted(tuple(r) for r in m.groupBy("pattern").count().collect())
     codes, counts = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
     patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(rules))], 1) if found else np.zeros((0, len(rules)))
-    post = fit_votes(patterns, counts)
+    post = fit_votes(patterns, counts)[0]
     if not found:
         return m.drop("pattern").withColumn("quality", F.lit(0.0))
     table = docs.sparkSession.createDataFrame(list(zip(codes.tolist(), post.tolist())), "pattern int, quality double")
