@@ -10,8 +10,8 @@ are indexed once.
 
 Only connection is asked for, so candidates are first tried against one earlier document
 each. What is not connected then is compared in blocks: a task takes two blocks of
-documents with an index key in common, tests the pairs not connected yet and returns
-the links that connect them, so pairs are never rows of a table.
+documents with an index key in common and sizes that may match, tests the pairs not
+connected yet and returns the links that connect them, so pairs are never rows of a table.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import components, materialize
+from .common import components, join_spread, materialize, release, tidy
 
-RARE = 512
+RARE = 512  # in up to so many texts a shingle is indexed alone; the result is the same at any value
 BLOCK = 256
 HALF = np.uint64(1 << 63)
 SLICE = 2_000_000
@@ -45,7 +45,7 @@ def shingle_info(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 sig = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(sig, pa.binary())], ["id", "n", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).mapInArrow(run, "id long, n long, sig binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).mapInArrow(tidy(run), "id long, n long, sig binary")
 
 
 def shingle_blobs(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -59,13 +59,18 @@ def shingle_blobs(docs: DataFrame, key: str, text: str, width: int) -> DataFrame
                 blobs = [h[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["id", "set"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).mapInArrow(run, "id long, set binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).mapInArrow(tidy(run), "id long, set binary")
 
 
 def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, n + (-percent * n // 100) + 2)
 
 
+def _short(count: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits, in the same order: exact up to 2^15, beyond that in steps of a thousandth of a doubling."""
+    return np.where(count < 32768, count, 32768 + 1000 * (np.log2(np.maximum(count, 32768)) - 15)).astype("<u2")
+
+
 _NONE = b""
 _POST = "bucket int, batch long, parts int, toks binary, at binary, hot binary, n binary, ids binary, sizes binary"
 
@@ -78,7 +83,8 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
     shingles out by hash, as arrays; each bucket counts documents and answers with the
     counts over one; each batch of texts then cuts its prefixes. Shingles in many texts
     of a batch are sent once with their number, so a very frequent one is summed
-    before the shuffle.
+    before the shuffle. A batch sends one row to each bucket it has shingles for, so rows
+    are never more than shingles, however many buckets there are.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,15 +108,16 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
                 count = np.diff(np.concatenate([first, [len(code)]]))
                 many = np.repeat(count > 8, count)
                 name = int.from_bytes(hashlib.blake2b(ids.tobytes() + n.tobytes() + h.tobytes(), digest_size=8).digest(), "little", signed=True)
-                edges = np.searchsorted(code >> 32, np.arange(buckets + 1))
-                hot, hot_n = code[first[count > 8]], count[count > 8]
-                hot_edges = np.searchsorted(hot >> 32, np.arange(buckets + 1))
-                rows: list[tuple] = []
-                for b in range(buckets):
-                    lo, hi = edges[b], edges[b + 1]
-                    if hi > lo:
-                        own, s = ~many[lo:hi], slice(hot_edges[b], hot_edges[b + 1])
-                        rows.append((b, name, 0, code[lo:hi][own].astype("<u4").tobytes(), doc[lo:hi][own].astype("<u2").tobytes(), hot[s].astype("<u4").tobytes(), hot_n[s].astype("<u4").tobytes(), _NONE, _NONE))
+                hot, hot_n = code[first[count > 8]], count[count > 8].astype("<u4")
+                one, one_doc = code[~many], doc[~many].astype("<u2")
+                used_buckets = np.unique(code[first] >> 32)
+                bounds = lambda x: zip(*(np.searchsorted(x >> 32, used_buckets, side).tolist() for side in ("left", "right")))
+                edges, hot_edges = list(bounds(one)), list(bounds(hot))
+                one, hot = one.astype("<u4"), hot.astype("<u4")
+                rows = [
+                    (b, name, 0, one[lo:hi].tobytes(), one_doc[lo:hi].tobytes(), hot[x:y].tobytes(), hot_n[x:y].tobytes(), _NONE, _NONE)
+                    for b, (lo, hi), (x, y) in zip(used_buckets.tolist(), edges, hot_edges)
+                ]
                 sizes = np.stack([n, low, used], 1).astype("<i8").tobytes()
                 rows.append((-1 - name % buckets, name, len(rows), code[many].astype("<i8").tobytes(), doc[many].astype("<u2").tobytes(), _NONE, _NONE, ids.tobytes(), sizes))
                 types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
@@ -130,7 +137,7 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
         total = np.add.reduceat(weight[order], first) if len(s) else weight
         df = np.zeros(len(every), np.int64)
         df[order] = np.repeat(total, np.diff(np.concatenate([first, [len(s)]])))
-        df = np.minimum(df, 65535).astype("<u2")
+        df = _short(df)
         cut = np.split(df, np.cumsum([len(x) for x in (*toks, *hots)])[:-1])
         k = len(toks)
         two = [cut[i] > 1 for i in range(k)]
@@ -140,6 +147,7 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
         out["hot"] = g.hot
         # counts of the single entries, then of the summed ones
         out["n"] = [cut[i][two[i]].tobytes() + cut[k + i].tobytes() for i in range(k)]
+        release()
         return out.assign(ids=_NONE, sizes=_NONE)
 
     def cut(g: pd.DataFrame) -> pd.DataFrame:
@@ -172,9 +180,10 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
             tok, doc = tok[keep], doc[keep]
             first = textops.runs(doc)
             rows = [(ids[d], n[d], t) for d, t in zip(doc[first].tolist(), np.split(tok, first[1:]))]
+        release()
         return pd.DataFrame(rows, columns=["id", "n", "toks"])
 
-    sent = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).where("id is not null").mapInArrow(send, _POST)
+    sent = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).where("id is not null").mapInArrow(tidy(send), _POST)
     return sent.groupBy("bucket").applyInPandas(count, _POST).groupBy("batch").applyInPandas(cut, "id long, n long, toks array<long>")
 
 
@@ -193,38 +202,42 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     p = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")).hint("merge"), "a")
     p = p.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")).hint("merge"), "b").select("a", "b", "sa", "sb")
-    return p.mapInArrow(test, "a long, b long")
+    return p.mapInArrow(tidy(test), "a long, b long")
 
 
 def connecting_links(keyed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components of documents that share a key; keyed: k, id, n, comp.
 
-    Keys of the same documents count once. A key belongs to its smallest document, the lead;
-    of a lead's documents, those of its largest component are compared with the others and
-    the others among themselves, all in blocks of about BLOCK.
+    Keys of the same documents count once. A key belongs to its smallest document, the lead.
+    A lead's documents are parted by size into bands so wide that similar sizes are in the
+    same or in neighbouring ones, and a band is dealt into blocks of about BLOCK. Blocks
+    of neighbouring bands are compared, but not those of the lead's largest component
+    with each other. So a lead of m documents in one band makes at most (m / BLOCK)^2 / 2
+    tasks; only those that are mostly of one passage come together in so large a one.
     """
+    keyed = materialize(keyed, "keyed")
     keys = keyed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lead")).where("lo < hi")
-    keys = keys.groupBy("c", "x", "lead").agg(F.min("k").alias("k")).select("k", "lead")
-    members = keyed.join(keys, "k").groupBy("lead", "id").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.collect_set(F.xxhash64("k")).alias("ks"))
-    members = materialize(members, "members")
-    by_comp = members.groupBy("lead", "comp").agg(F.count("*").alias("m"))
-    leads = by_comp.groupBy("lead").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("m"))
-    leads = leads.select("lead", F.col("main.comp").alias("main"), F.ceil(F.col("main.m") / BLOCK).cast("int").alias("nl"), F.ceil((F.col("m") - F.col("main.m")) / BLOCK).cast("int").alias("ns"))
-    d = members.join(leads, "lead").join(sets.hint("merge"), "id").withColumn("h", F.xxhash64("id"))
-    own = F.pmod("h", F.when(F.col("comp") == F.col("main"), F.col("nl")).otherwise(F.col("ns"))).cast("int")
-    d = d.withColumn("own", own)
-    upto = lambda n: F.transform(F.sequence(F.lit(1), F.col(n)), lambda i: i - 1)
-    across = F.transform(upto("ns"), lambda j: F.struct(F.lit(1).alias("t"), F.col("own").alias("i"), j.alias("j")))
-    back = F.transform(upto("nl"), lambda i: F.struct(F.lit(1).alias("t"), i.alias("i"), F.col("own").alias("j")))
-    among = F.transform(upto("ns"), lambda j: F.struct(F.lit(0).alias("t"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    d = d.withColumn("task", F.explode(F.when(F.col("comp") == F.col("main"), across).otherwise(F.concat(back, among))))
-    d = d.select("lead", "task.t", "task.i", "task.j", "own", "id", "n", "comp", (F.col("comp") == F.col("main")).alias("big"), "ks", "set")
+    keys = keys.groupBy("c", "x", "lead").agg(F.min("k").alias("k")).select("k", "lead", "c")
+    wide = float(np.log(100 / percent)) * 1.000001 if percent < 100 else 1.0
+    members = join_spread(keyed, keys, "k", "c", keyed.count(), "id").groupBy("lead", "id").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.collect_set(F.xxhash64("k")).alias("ks"))
+    members = materialize(members.withColumn("band", F.floor(F.log("n") / wide).cast("int")), "members")
+    total = members.count()
+    parts = members.groupBy("lead", "comp", "band").agg(F.count("*").alias("m"))
+    main = parts.groupBy("lead", "comp").agg(F.sum("m").alias("m"), F.count("*").alias("c")).groupBy("lead").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.sum("c").alias("c"))
+    bands = join_spread(parts, main, "lead", "c", total, "comp").groupBy("lead", "main", (F.col("comp") == F.col("main")).cast("int").alias("big"), "band").agg(F.sum("m").alias("m"))
+    # of a lead one row with its bands, as many as sizes have doublings times three
+    leads = bands.groupBy("lead", "main").agg(F.sum("m").alias("m"), F.collect_list(F.struct("big", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))).alias("bands"))
+    d = join_spread(members, leads, "lead", "m", total, "id").join(sets.hint("merge"), "id")
+    d = d.withColumn("big", (F.col("comp") == F.col("main")).cast("int"))
+    code = "((x.big * 1000L + x.band) << 32)"
+    own = f"transform(filter(bands, x -> x.big = big and x.band = band), x -> {code} + pmod(xxhash64(id), x.nb))[0]"
+    others = f"flatten(transform(filter(bands, x -> abs(x.band - band) <= 1 and x.big + big < 2), x -> transform(sequence(0, x.nb - 1), i -> {code} + i)))"
+    d = d.withColumns({"own": F.expr(own), "other": F.expr(others)}).withColumn("other", F.explode("other"))
+    d = d.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "comp", "ks", "set")
 
     def connect(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id", kind="stable")
-        t, i, j = g.t.iloc[0], g.i.iloc[0], g.j.iloc[0]
-        left = g.big.to_numpy() if t else g.own.to_numpy() == i
-        right = ~g.big.to_numpy() if t else g.own.to_numpy() == j
+        left, right = g.own.to_numpy() == g.i.iloc[0], g.own.to_numpy() == g.j.iloc[0]
         ids, n, comp = g.id.to_numpy(), g.n.to_numpy(), g.comp.to_numpy()
         blobs = [np.frombuffer(x, np.uint64) for x in g.set]
         ks = [np.asarray(x, np.int64) for x in g.ks]
@@ -251,9 +264,11 @@ def connecting_links(keyed: DataFrame, sets: DataFrame, percent: int) -> DataFra
             if ra != rb and _similar(blobs[a], blobs[b], percent):
                 root[max(ra, rb)] = min(ra, rb)
                 links.append((ids[a], ids[b]))
+        if sum(x.nbytes for x in blobs) > 16_000_000:
+            release()
         return pd.DataFrame(links, columns=["a", "b"])
 
-    return d.groupBy("lead", "t", "i", "j").applyInPandas(connect, "a long, b long")
+    return d.groupBy("lead", "i", "j").applyInPandas(connect, "a long, b long")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -263,7 +278,7 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, stored: bool = False) -> DataFrame:
     """(key, n_shingles, component_id), one row an input row.
 
     Sets: distinct runs of `width` words, A-Z lowered; of fewer words, the whole as one.
@@ -271,16 +286,20 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     key reachable over links. Null texts and texts without words have no shingles and
     link with nothing. Equal sets are one node, so copies cost one row each. A key on
     rows with different texts stands for all of them; a null key links with nothing.
+    Other columns of docs are not read. stored: docs is read from files as it stands;
+    otherwise key and text are written first, as batches of texts must not change between passes.
     """
+    docs = docs.select(key, text) if stored else materialize(docs.select(key, text), "docs")
     info = materialize(shingle_info(docs, key, text, width), "info")
     nodes = info.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"))
     total = info.agg(F.sum("n")).first()[0] or 0
     post = prefix_postings(docs, key, text, width, percent, max(64, total >> 19))
     post = post.join(nodes.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"])
     post = materialize(post.select("id", "n", F.explode("toks").alias("tok")), "postings")
+    size = post.count()
     by_tok = post.groupBy("tok").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lead")).where("c > 1")
     classes = by_tok.groupBy("c", "x", "lead").agg(F.min("tok").alias("tok"), F.count("*").alias("mult"))
-    post = materialize(post.join(classes, "tok").select("tok", "id", "n", "c", "mult", "lead"), "classes")
+    post = materialize(join_spread(post, classes, "tok", "c", size, "id").select("tok", "id", "n", "c", "mult", "lead"), "classes")
     sets = docs.join(post.select(F.col("id").alias(key)).distinct().hint("merge"), key, "left_semi").select(key, text).dropDuplicates([key])
     sets = materialize(shingle_blobs(sets, key, text, width), "sets")
 
@@ -290,8 +309,8 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     comp = materialize(components(links), "components")
 
     post = post.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
-    apart = post.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-    post = materialize(post.join(apart, "tok").select("tok", "id", "n", "c", "mult", "lead", "comp"), "apart")
+    apart = post.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("tok", "many")
+    post = materialize(join_spread(post, apart, "tok", "many", size, "id").select("tok", "id", "n", "c", "mult", "lead", "comp"), "apart")
     rare = post.where(F.col("c") <= RARE).select(F.struct(F.col("tok").alias("x"), F.col("tok").alias("y")).alias("k"), "id", "n", "comp")
     often = post.where(F.col("c") > RARE).groupBy("id", "lead").agg(F.sum("mult").alias("mult"), F.min("n").alias("n"), F.min("comp").alias("comp"))
     often = materialize(often, "often")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 BITS, LEVELS = 10, 6
 
@@ -30,7 +30,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     """(source, source_size, target): all sizes shared by weight, each source at most `most` times its own.
 
     Filling level: sources sorted by cap per weight, the first whose cap holds the
-    level of what the ones before it leave over sets the level. One row a source.
+    level of what the ones before it leave over sets the level. Windows over one row a
+    source run in one task, which bounds sources at some ten million.
     """
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col("source").asc_nulls_last())
@@ -84,14 +85,18 @@ def threshold_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
 
 
 def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The rows of docs, each as often as mix_sources takes it (not at all, up to `most` times); all columns are kept."""
+    """The rows of docs, each as often as mix_sources takes it (not at all, up to `most` times).
+
+    All columns are kept, whatever their names; an empty table gives no rows.
+    """
     plan = threshold_plan(docs, key, text, source, weights, most)
-    plan = plan.select(F.col("s").alias("__s"), F.col("times").alias("__n"), F.col("cut").alias("__cut"))
-    own = docs.withColumns({"__h": hash60(key), "__z": word_count(text)})
-    times = F.col("__n") + (F.col("__h") < F.col("__cut")).cast("long")
-    own = own.join(plan, F.col(source).eqNullSafe(F.col("__s"))).withColumn("__t", F.least(times, F.lit(most)))
-    own = own.where("__z > 0 and __t > 0")
-    return own.withColumn("__i", F.explode(F.expr("sequence(1L, __t)"))).select(docs.columns)
+    s, n, cut, h, z, t, i = unused(docs, "s", "n", "cut", "h", "z", "t", "i")
+    plan = plan.select(F.col("s").alias(s), F.col("times").alias(n), F.col("cut").alias(cut))
+    own = docs.withColumns({h: hash60(key), z: word_count(text)})
+    times = F.col(n) + (F.col(h) < F.col(cut)).cast("long")
+    own = own.join(plan, F.col(source).eqNullSafe(F.col(s))).withColumn(t, F.least(times, F.lit(most).cast("long")))
+    own = own.where((F.col(z) > 0) & (F.col(t) > 0))
+    return own.withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(t)))).select(docs.columns)
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import materialize
+from .common import materialize, tidy, unused
 
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -32,11 +32,11 @@ class WordTokens:
     """ids of texts from a tokenizer that never joins what white space parts.
 
     Each distinct word of a slice, A-Z lowered, is encoded once, many to a call with a
-    special token between them, and kept for later slices. A word is also cut between a
-    letter and the punctuation mark after it, where the tokenizer always cuts.
+    special token between them, and kept for later slices, up to `keep` words. A word is also
+    cut between a letter and the punctuation mark after it, where the tokenizer always cuts.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -130,7 +130,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, key: str =
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(cut, schema)
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(tidy(cut), schema)
 
 
 def fill_patterns(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -243,14 +243,18 @@ def plan_sequences(counts: np.ndarray, limit: int) -> list[tuple[int, list[int]]
     return groups + best_fit(left, limit)
 
 
-def place_pieces(pieces: DataFrame, limit: int = 2048, key: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to pieces (key, piece, length, ids_crc32, ...).
+def place_pieces(pieces: DataFrame, limit: int = 2048) -> DataFrame:
+    """Adds sequence_id and offset to pieces (length, ...).
 
     Pieces of one length are interchangeable, so a rank within the length is enough.
-    Ranks are made without gathering a length: rows are dealt over about sqrt(rows)
-    groups a length, the groups counted, and a row's rank is its place in its group
-    plus the counts of the groups before.
+    Ranks are made without gathering a length: pieces are written with a number each, dealt
+    by it over about sqrt(rows) groups a length, the groups counted, and a row's rank is its
+    place in its group plus the counts of the groups before. Repeated rows are dealt like
+    others.
     """
+    names = pieces.columns
+    row, g, rank, own = unused(pieces, "row", "g", "rank", "own")
+    pieces = materialize(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
     lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
     counts = np.zeros(limit + 1, np.int64)
     for r in lengths:
@@ -271,22 +275,20 @@ def place_pieces(pieces: DataFrame, limit: int = 2048, key: str = "doc_id") -> D
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.column(b.schema.get_field_index("length")).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = b.column(b.schema.get_field_index("rank")).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(code, (n << np.int64(48)) + rank, "right") - 1
-            keep = [i for i, name in enumerate(b.schema.names) if name != "rank"]
-            cols = [b.column(i) for i in keep] + [pa.array(table[at, 2] + rank - table[at, 1]), pa.array(table[at, 3])]
-            yield pa.RecordBatch.from_arrays(cols, [b.schema.names[i] for i in keep] + ["sequence_id", "offset"])
-
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(deal)).cast("int"))
-    sizes = dealt.groupBy("length", "g").agg(F.count("*").alias("n"))
-    before = W.partitionBy("length").orderBy("g").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("length", "g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = W.partitionBy("length", "g").orderBy(F.col(key).asc_nulls_first(), "piece", "ids_crc32")
-    ranked = dealt.withColumn("own", F.row_number().over(own)).join(sizes, ["length", "g"])
-    ranked = ranked.select(*pieces.columns, (F.col("base") + F.col("own") - 1).alias("rank"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(look_up, schema)
+            n = b.column(names.index("length")).to_numpy(zero_copy_only=False).astype(np.int64)
+            at_rank = b.column(len(names)).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(code, (n << np.int64(48)) + at_rank, "right") - 1
+            cols = [*b.columns[: len(names)], pa.array(table[at, 2] + at_rank - table[at, 1]), pa.array(table[at, 3])]
+            yield pa.RecordBatch.from_arrays(cols, [*names, "sequence_id", "offset"])
+
+    dealt = pieces.withColumn(g, F.pmod(F.xxhash64(row), F.lit(deal)).cast("int"))
+    sizes = dealt.groupBy("length", g).agg(F.count("*").alias(rank))
+    before = W.partitionBy("length").orderBy(g).rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("length", g, F.coalesce(F.sum(rank).over(before), F.lit(0)).alias(rank))
+    ranked = dealt.withColumn(own, F.row_number().over(W.partitionBy("length", g).orderBy(row))).join(sizes, ["length", g])
+    ranked = ranked.select(*names, (F.col(rank) + F.col(own) - 1).alias(rank))
+    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes if c != row) + ", sequence_id long, offset long"
+    return ranked.mapInArrow(tidy(look_up), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 2048, key: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -295,7 +297,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 2048, key: str
     Null and empty texts give one piece of length 1. Repeated rows are packed as often
     as they occur. An empty table gives no rows.
     """
-    return place_pieces(materialize(token_pieces(docs, tokenizer, limit, key, text, keep_ids), "pieces"), limit, key)
+    return place_pieces(token_pieces(docs, tokenizer, limit, key, text, keep_ids), limit)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 MARK, STAND_IN = "\x01", "\x02"
 
 # fixed values: the four base patterns, in the order their spans are listed. A look-behind
@@ -27,6 +29,9 @@ ADDED = {
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"(?i)\b(?:ssn|social|security|taxpayer)\b"),
 }
 NEAR, CONTEXT, CHECKED, ENOUGH = 40, 0.4, 0.6, 0.6
+# what every match of a kind contains
+NEEDS = {"email": "@", "phone": "+", "ip": "."}
+HINTS = {"card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "local_phone": r"[0-9]{3}[\x20.-][0-9]{4}", "ssn": "-[0-9]{2}-"}
 
 
 def _digits(x: Column) -> Column:
@@ -81,16 +86,17 @@ def _confirmed(kind: str, spans: Column) -> Column:
     return F.filter(spans, lambda s: _valid(kind, s["match"]))
 
 
-def _added(kind: str, text: Column, spans: Column) -> Column:
+def _added(kind: str, text: str, spans: Column, base: str) -> Column:
     _, first, words = ADDED[kind]
 
     def score(s: Column) -> Column:
-        near = F.substring(text, F.greatest(F.lit(1), s["start"] - NEAR + 1), F.least(F.lit(NEAR), s["start"]))
-        said = F.when(F.rlike(near, F.lit(words)), CONTEXT).otherwise(0.0)
+        before = F.substring(text, F.greatest(F.lit(1), s["start"] - NEAR + 1), F.least(F.lit(NEAR), s["start"]))
+        after = F.substring(text, s["end"] + 1, F.lit(NEAR))
+        said = F.when(F.rlike(before, F.lit(words)) | F.rlike(after, F.lit(words)), CONTEXT).otherwise(0.0)
         check = F.when(mod97(s["match"]) == 1, CHECKED).otherwise(-CONTEXT) if kind == "iban" else F.lit(0.0)
         return F.lit(first) + said + check
 
-    free = F.filter(spans, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     each = F.transform(free, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score")))
     return F.filter(each, lambda s: s["score"] >= ENOUGH)
 
@@ -100,21 +106,26 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Starts and ends are in code points, ends exclusive. base holds the confirmed matches of
     BASE by kind, then start; spans those and, after them, ADDED ones that overlap no
-    base span and whose score (pattern, checksum, words up to NEAR code points before)
-    reaches ENOUGH. A null text counts as empty and has none.
+    base span and whose score (pattern, checksum, words up to NEAR code points before or
+    after) reaches ENOUGH. A null text counts as empty and has none; repeated rows are each
+    searched; an empty table gives no rows. Columns of docs named base or spans are
+    replaced, all others are kept whatever their names.
     """
-    t = "__t"
+    kinds = [*BASE.items(), *((k, v[0]) for k, v in ADDED.items())]
+    t, b, *names = unused(docs, "t", "b", *(f"m_{k}" for k, _ in kinds), *(f"s_{k}" for k in BASE))
+    marked, checked = dict(zip([k for k, _ in kinds], names)), dict(zip(BASE, names[len(kinds) :]))
     d = docs.withColumn(t, F.translate(F.coalesce(F.col(text), F.lit("")), MARK, STAND_IN))
-    needs = {"email": "@", "phone": "+", "ip": "."}
     marks = {}
-    for kind, pattern in [*BASE.items(), *((k, v[0]) for k, v in ADDED.items())]:
+    for kind, pattern in kinds:
         m = F.regexp_replace(t, F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
-        marks[f"__m_{kind}"] = F.when(F.instr(t, needs[kind]) > 0, m).otherwise("") if kind in needs else m
+        # most texts lack what a kind cannot do without; they are not searched for it
+        may = F.instr(t, NEEDS[kind]) > 0 if kind in NEEDS else F.rlike(t, F.lit(HINTS[kind]))
+        marks[marked[kind]] = F.when(may, m).otherwise("")
     d = d.withColumns(marks)
-    d = d.withColumns({f"__s_{k}": _confirmed(k, _spans(f"__m_{k}")) for k in BASE})
-    d = d.withColumn("base", F.concat(*[_scored(k, F.col(f"__s_{k}")) for k in BASE]))
-    d = d.withColumn("spans", F.concat("base", *[_added(k, F.col(t), _spans(f"__m_{k}")) for k in ADDED]))
-    return d.select(*[c for c in docs.columns if c not in ("base", "spans")], "base", "spans")
+    d = d.withColumns({checked[k]: _confirmed(k, _spans(marked[k])) for k in BASE})
+    d = d.withColumn(b, F.concat(*[_scored(k, F.col(checked[k])) for k in BASE]))
+    spans = F.concat(F.col(b), *[_added(k, t, _spans(marked[k]), b) for k in ADDED])
+    return d.select(*[c for c in docs.columns if c not in ("base", "spans")], F.col(b).alias("base"), spans.alias("spans"))
 
 
 def listed(spans: str) -> Column:

@@ -83,7 +83,7 @@ def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_texts(table(spark, sf_dir, "documents"))
+    return jaccard.near_texts(table(spark, sf_dir, "documents"), stored=True)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
