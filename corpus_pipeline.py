@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts connected by five-word Jaccard links of 0.8 or more, the one of smallest doc_id, once."""
-    kept = jaccard.near_texts(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = jaccard.near_texts(docs, stored=bool(docs.inputFiles())).where("doc_id = component_id").select("doc_id").distinct()
     return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
 
 
