@@ -291,7 +291,7 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     """
     docs = docs.select(key, text) if stored else materialize(docs.select(key, text), "docs")
     info = materialize(shingle_info(docs, key, text, width), "info")
-    nodes = info.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"))
+    nodes = info.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     total = info.agg(F.sum("n")).first()[0] or 0
     post = prefix_postings(docs, key, text, width, percent, max(64, total >> 19))
     post = post.join(nodes.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"])
@@ -320,5 +320,8 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     keyed = rare.unionByName(twice).unionByName(combos)
     more = materialize(connecting_links(keyed, sets, percent), "links")
     final = components(links.union(more))
-    out = info.join(nodes, "sig", "left").join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "id").alias("component_id"))
+    known = nodes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "copies", F.coalesce("component_id", "rep").alias("component_id"))
+    alone = F.col("sig").isNull() | F.col("id").isNull()
+    out = join_spread(info.where(~alone), known, "sig", "copies", info.count(), "id").select("id", "n", "component_id")
+    out = out.unionByName(info.where(alone).select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")

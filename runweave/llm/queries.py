@@ -35,18 +35,25 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
-    """Each page as a full response a minute after the last, and asked for again half an hour later."""
+    """Each page as a response a minute after the last, and asked for again half an hour later.
+
+    Every eleventh response is no success; every third page has no etag and goes by its
+    last_modified; every seventh is asked for again with validators of its own.
+    """
+    i = F.col("page_id")
     tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
-    p = pages.select("page_id", "url", tag.alias("etag"), F.sha1(F.coalesce("html", F.lit(""))).alias("sha"))
-    at = F.col("page_id") * 60
+    p = pages.select(
+        "page_id", "url", F.when(i % 3 != 0, tag).alias("etag"), F.concat(F.lit("m"), (i % 5).cast("string")).alias("modified"), F.sha1(F.coalesce("html", F.lit(""))).alias("sha"),
+        (i * 60).alias("at"), (i % 7 == 0).alias("other"))
+    etag = lambda c: F.when(c.isNotNull(), F.create_map(F.lit("etag"), c)).otherwise(F.create_map().cast("map<string,string>"))
     first = p.select(
-        (F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), "url", at.alias("ts"), F.lit(200).alias("status"), "etag",
-        F.lit(None).cast("string").alias("last_modified"), F.col("sha").alias("digest"),
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), at.cast("string"), F.lit("etag"), F.col("etag"), F.lit("server"), F.lit("a")).alias("headers"))
+        (i * 2).alias("record_id"), F.lit("response").alias("kind"), "url", F.col("at").alias("ts"), F.when(i % 11 == 0, 503).otherwise(200).alias("status"), "etag", F.col("modified").alias("last_modified"), F.col("sha").alias("digest"),
+        F.map_concat(F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.col("at").cast("string"), F.lit("server"), F.lit("a")), etag(F.col("etag"))).alias("headers"))
+    asked = F.when(F.col("other"), F.lit('"other"')).otherwise(F.col("etag"))
     again = p.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), F.concat(F.col("url"), F.lit("#again")).alias("url"), (at + 1800).alias("ts"), F.lit(304).alias("status"), "etag",
-        F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"),
-        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), (at + 1800).cast("string"), F.lit("etag"), F.col("etag")).alias("headers"))
+        (i * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), F.concat(F.col("url"), F.lit("#again")).alias("url"), (F.col("at") + 1800).alias("ts"), F.lit(304).alias("status"), asked.alias("etag"),
+        F.when(F.col("other"), F.lit("other")).otherwise(F.col("modified")).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.map_concat(F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), (F.col("at") + 1800).cast("string")), etag(asked)).alias("headers"))
     return first.unionByName(again)
 
 

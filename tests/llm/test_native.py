@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from helpers import docs_frame, frame, odd_rows
+from pyspark.sql import functions as F
 
 from runweave.llm import chat, pii, queries, urlrules, warc
 from runweave.llm.common import table
@@ -80,11 +81,13 @@ def test_urls_match_brute_force(spark):
     urls = [None, "", "no scheme", "http://", "://x.com/", "http://COM/", "http://www.Example.com/en/x?y", "http://example.com", "http://a.example.com/en/", "https://x.net/es/1", "http://b.org", "http://b.org/a", "http://b.org/a/bc", "http://c.b.org/a/b/c#d", "http://ab.org/a", "http://q/z", "http://.com/x", "http://com./x", "http://x.com:80/en/", "a://b://c.net/fr/", "http://é.net/fr/" + "x" * 5000] * 2
     pages = spark.createDataFrame([(i, u, "r", 1) for i, u in enumerate(urls)], "page_id long, url string, rule string, g int")
     r = spark.createDataFrame(rules, "host string, path string, verdict string")
-    for group in (500, 2):
-        got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in urlrules.judge_urls(pages, r, group=group).collect()}
+    for parts in ("4", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in urlrules.judge_urls(pages, r).collect()}
         assert len(got) == len(urls)
         for i, u in enumerate(urls):
             assert got[i] == judge(u, rules), u
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert urlrules.judge_urls(pages.limit(0), r).count() == 0
     assert urlrules.judge_urls(pages, r.limit(0)).where("rule is null").count() == len(urls)
 
@@ -108,6 +111,10 @@ def test_revisits(spark):
     assert {k: (r.outcome, r.resolved_id) for k, r in got.items()} == {
         4: ("resolved", 1), 5: ("resolved", 2), 6: ("mismatch", None), 7: ("resolved", 2), 8: ("missing", None), 9: ("missing", None), 10: ("missing", None), 11: ("missing", None), 12: ("mismatch", None)}
     assert got[4].headers == {"date": "20", "etag": '"1"', "content-type": "t"} and got[4].digest == "d1"
+    again = df.unionByName(df).withColumns({"latest": F.lit(1), "was": F.lit(2), "n": F.lit(3)})
+    assert sorted((r.record_id, r.outcome, r.resolved_id or 0) for r in warc.resolve_revisits(again).collect()) == sorted((k, r.outcome, r.resolved_id or 0) for k, r in got.items() for _ in range(2))
+    bare = spark.createDataFrame([record(None, "response", "http://c.d/", 1, None, "m", "d9"), record(None, "revisit", "http://c.d/", 1, None, "m")], df.schema)
+    assert [(r.outcome, r.digest, r.headers) for r in warc.resolve_revisits(bare).collect()] == [("resolved", "d9", {})]
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 

@@ -71,8 +71,26 @@ def test_every_vector_is_indexed(spark):
     want = (u @ u.T >= 0.9).sum(1) - 1
     full = {r[0]: r[1] for r in vectors.near_vectors(df, lists=6, probes=6).collect()}
     assert [full[i] for i in range(len(x))] == want.tolist()
-    some = sum(r[1] for r in vectors.near_vectors(df).collect())
-    assert some >= 0.95 * want.sum()
+    for per_level in (1024, 8):
+        some = {r[0]: r[1] for r in vectors.near_vectors(df, per_level=per_level).collect()}
+        assert sum(some.values()) >= 0.95 * want.sum() and all(some[i] <= want[i] for i in range(len(x)))
+
+
+def test_lists_of_several_levels_keep_each_vector_near():
+    x = np.random.RandomState(1).normal(size=(3000, 8)).astype(np.float32)
+    q = vectors.Quantizer.fit(x, 500, most=16)
+    assert len(q.levels) == 3
+    near = q.probe(x, 4)
+    d = np.stack([((x - q.center(near[:, i])) ** 2).sum(1) for i in range(4)], 1)
+    assert (np.diff(d, axis=1) >= -1e-3).all() and d[:, 0].mean() < (x**2).sum(1).mean() / 3
+
+
+def test_doubles_stay_doubles(spark):
+    # cosine a little under 0.9 as doubles, which floats round to more
+    c = 0.9 - 1e-9
+    rows = [(1, [1.0, 0.0]), (2, [c, (1 - c * c) ** 0.5]), (3, [0.9, (1 - 0.81) ** 0.5 * 0.999])]
+    got = {r[0]: (r[1], r[2]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[1] == (1, 1) and got[2] == (1, 1) and got[3] == (2, 1)
 
 
 def brute_texts(rows, percent=80):
