@@ -321,6 +321,7 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     more = materialize(connecting_links(keyed, sets, percent), "links")
     final = components(links.union(more))
     known = nodes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "copies", F.coalesce("component_id", "rep").alias("component_id"))
+    known = materialize(known, "known")
     alone = F.col("sig").isNull() | F.col("id").isNull()
     out = join_spread(info.where(~alone), known, "sig", "copies", info.count(), "id").select("id", "n", "component_id")
     out = out.unionByName(info.where(alone).select("id", "n", F.col("id").alias("component_id")))

@@ -42,15 +42,15 @@ FROM c JOIN s7 ON c.source IS NOT DISTINCT FROM s7.source
 
 _OP4 = r"""
 WITH p AS (
-  SELECT page_id, page_id * 60 AS at, regexp_replace(url, '#.*$', '') AS u, CASE WHEN page_id % 3 <> 0 THEN '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' END AS etag,
+  SELECT page_id, page_id * 60 AS began, regexp_replace(url, '#.*$', '') AS u, CASE WHEN page_id % 3 <> 0 THEN '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' END AS etag,
     'm' || (page_id % 5) AS modified, sha1(coalesce(html, '')) AS sha FROM pages),
 h AS (SELECT *, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')) AS head FROM p),
-k AS (SELECT page_id, at, etag, modified, sha, CASE WHEN head = '' THEN u ELSE regexp_replace(regexp_replace(head, '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1')
+k AS (SELECT page_id, began, etag, modified, sha, CASE WHEN head = '' THEN u ELSE regexp_replace(regexp_replace(head, '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1')
   || CASE WHEN starts_with(substr(u, length(head) + 1), '/') THEN substr(u, length(head) + 1) ELSE '/' || substr(u, length(head) + 1) END END AS url_key FROM h),
-r AS (SELECT page_id, url_key, at + 1800 AS again, CASE WHEN page_id % 7 = 0 THEN '"other"' ELSE etag END AS etag, CASE WHEN page_id % 7 = 0 THEN 'other' ELSE modified END AS modified FROM k),
+r AS (SELECT page_id, url_key, began + 1800 AS again, CASE WHEN page_id % 7 = 0 THEN '"other"' ELSE etag END AS etag, CASE WHEN page_id % 7 = 0 THEN 'other' ELSE modified END AS modified FROM k),
 j AS (
-  SELECT a.*, b.page_id AS found, b.at AS first, b.etag AS e, b.modified AS m, b.sha, row_number() OVER (PARTITION BY a.page_id ORDER BY b.at DESC NULLS LAST, b.page_id DESC) AS rn
-  FROM r a LEFT JOIN k b ON a.url_key = b.url_key AND b.page_id % 11 <> 0 AND (b.at < a.again OR b.at = a.again AND b.page_id * 2 < a.page_id * 2 + 1)),
+  SELECT a.*, b.page_id AS found, b.began AS first, b.etag AS e, b.modified AS m, b.sha, row_number() OVER (PARTITION BY a.page_id ORDER BY b.began DESC NULLS LAST, b.page_id DESC) AS rn
+  FROM r a LEFT JOIN k b ON a.url_key = b.url_key AND b.page_id % 11 <> 0 AND (b.began < a.again OR b.began = a.again AND b.page_id * 2 < a.page_id * 2 + 1)),
 o AS (SELECT *, found IS NOT NULL AND CASE WHEN e IS NOT NULL AND etag IS NOT NULL THEN e = etag ELSE coalesce(m = modified, false) END AS ok, coalesce(etag, e) AS tag FROM j WHERE rn = 1)
 SELECT page_id * 2 + 1 AS record_id, url_key, CASE WHEN found IS NULL THEN 'missing' WHEN ok THEN 'resolved' ELSE 'mismatch' END AS outcome,
   CASE WHEN ok THEN found * 2 END AS resolved_id,

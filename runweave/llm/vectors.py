@@ -259,6 +259,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     comps = components(out.where("kind = 1").select("a", "b")).withColumnRenamed("id", "cid")
     known = classes.select("sig", "cid", "m").join(counts, "cid", "left").join(comps, "cid", "left")
     known = known.select("sig", "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "cid").alias("component_id"))
+    known = materialize(known, "known")
     res = join_spread(base.where("sig is not null").select("id", "sig"), known, "sig", "m", base.count(), "id").select("id", "n_links", "component_id")
     res = res.unionByName(base.where("sig is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return res.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
