@@ -2,13 +2,17 @@
 
 Terms are letters-and-digits tokens, lowered, and their first 4 to 6 bytes, so that
 inflected forms share terms; they are hashed into 2^20 buckets. Training takes a bounded
-sample of labelled rows, keeps the buckets that go with the label, and fits weights
-and pairwise factors. Scoring is one pass over all texts, whole.
+sample of labelled rows and keeps the buckets that go with the label, and those that go with
+or against it among the texts that hold one of the first: so a term that means nothing by
+itself, but makes another worse or harmless, takes part. Weights are fitted first, then
+pairwise factors with them, for as long as that helps on training rows set aside. Scoring
+is one pass over all texts, whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import materialize
+from .common import materialize, tidy
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -50,7 +54,7 @@ def _bags(docs: DataFrame, key: str, text: str) -> DataFrame:
                 blobs = [low[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary())], [key, "y", "terms"])
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col("y").cast("int").alias("y"), F.col(text).alias(text)).mapInArrow(run, f"`{key}` long, y int, terms binary")
+    return docs.select(F.col(key).cast("long").alias(key), F.col("y").cast("int").alias("y"), F.col(text).alias(text)).mapInArrow(tidy(run), f"`{key}` long, y int, terms binary")
 
 
 @dataclass
@@ -73,62 +77,125 @@ class Machine:
 
 
 def _second_order(w: np.ndarray, v: np.ndarray, d: np.ndarray, f: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    sums = np.stack([np.bincount(d, weights=v[f, k], minlength=n) for k in range(v.shape[1])], 1) if len(f) else np.zeros((n, v.shape[1]))
+    sums = np.stack([np.bincount(d, weights=v[f, k], minlength=n) for k in range(v.shape[1])], 1) if v[f].size else np.zeros((n, v.shape[1]))
     squares = np.bincount(d, weights=(v[f] ** 2).sum(1), minlength=n)
     return np.bincount(d, weights=w[f], minlength=n) + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def choose_buckets(bags: DataFrame, n: int, positive: int, keep: int, least: int, z: float) -> np.ndarray:
-    """Sorted: up to `keep` buckets in at least `least` positive texts whose log odds exceed 0 by `z` deviations."""
+def choose_buckets(bags: DataFrame, keep: int, least: int, z: float, beside: int) -> np.ndarray:
+    """Sorted: buckets in at least `least` texts whose log odds differ from 0 by `z` deviations.
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [np.frombuffer(x, "<i4") for x in b.column(2).to_pylist()]
-            y = np.repeat(b.column(1).to_numpy(zero_copy_only=False) > 0, [len(x) for x in parts])
-            term = np.concatenate([np.zeros(0, "<i4"), *parts])
-            name, at = np.unique(term, return_inverse=True)
-            pos = np.bincount(at[y], minlength=len(name))
-            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int32()), pa.array(pos, pa.int64()), pa.array(np.bincount(at, minlength=len(name)) - pos, pa.int64())], ["bucket", "a", "b"])
-
-    counts = bags.mapInArrow(tally, "bucket int, a long, b long").groupBy("bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= least)
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (positive + 1.0 - a)) - F.log(b / (n - positive + 1.0 - b))
-    best = counts.withColumn("score", odds / F.sqrt(1 / a + 1 / b)).where(F.col("score") >= z).orderBy(F.desc("score"), "bucket").limit(keep)
-    return np.sort(np.array([r[0] for r in best.select("bucket").collect()], np.int64))
-
-
-def fit_machine(buckets: np.ndarray, bags: list[np.ndarray], y: np.ndarray, factors: int = 4, rounds: int = 200) -> Machine:
-    """Full-batch Adam on the log loss with small weight decay; bags: places in `buckets` of each text's terms."""
+    Up to `keep` are those that go most with the label, up to `beside` more those that go
+    most with or against it among the texts that hold one of them.
+    """
+
+    def tally(within: np.ndarray | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                parts = [np.frombuffer(x, "<i4") for x in b.column(2).to_pylist()]
+                y = b.column(1).to_numpy(zero_copy_only=False) > 0
+                if within is not None:
+                    use = [bool(np.isin(within, x, assume_unique=True).any()) for x in parts]
+                    parts, y = [x for x, u in zip(parts, use) if u], y[use]
+                at = np.repeat(y, [len(x) for x in parts])
+                # a row for all texts, below the buckets
+                term = np.concatenate([np.full(len(y), -1), *parts])
+                at = np.concatenate([y, at])
+                name, place = np.unique(term, return_inverse=True)
+                pos = np.bincount(place[at], minlength=len(name))
+                yield pa.RecordBatch.from_arrays([pa.array(name, pa.int32()), pa.array(pos, pa.int64()), pa.array(np.bincount(place, minlength=len(name)) - pos, pa.int64())], ["bucket", "a", "b"])
+
+        return run
+
+    def best(within: np.ndarray | None, most: int) -> list[int]:
+        counts = bags.mapInArrow(tally(within), "bucket int, a long, b long").groupBy("bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        whole = counts.where("bucket = -1").select(F.col("a").alias("pos"), F.col("b").alias("neg"))
+        a, b = F.col("a") + 0.5, F.col("b") + 0.5
+        odds = F.log(a / (F.col("pos") + 1.0 - a)) - F.log(b / (F.col("neg") + 1.0 - b))
+        found = counts.where((F.col("bucket") >= 0) & (F.col("a") + F.col("b") >= least)).join(F.broadcast(whole))  # one row
+        found = found.withColumn("score", odds / F.sqrt(1 / a + 1 / b))
+        if within is not None:
+            found = found.withColumn("score", F.abs("score")).where(~F.col("bucket").isin(within.tolist()))
+        return [r[0] for r in found.where(F.col("score") >= z).orderBy(F.desc("score"), "bucket").limit(most).select("bucket").collect()]
+
+    first = best(None, keep)
+    second = best(np.sort(np.array(first, "<i4")), beside) if first else []
+    return np.sort(np.array(first + second, np.int64))
+
+
+def fit_machine(buckets: np.ndarray, bags: list[np.ndarray], y: np.ndarray, factors: int = 4, rounds: int = 200, pairs: int = 200, each_round: Callable[[int, Machine], None] | None = None) -> Machine:
+    """Full-batch Adam on the log loss with small weight decay: `rounds` of weights, then `pairs` more with factors.
+
+    bags: places in `buckets` of each text's terms. each_round is called with the number of
+    rounds with factors done and the machine, every 50 of them.
+    """
     n, pos = len(y), y > 0
     bias = float(np.log((pos.sum() + 0.5) / (n - pos.sum() + 0.5)))
     d, f = np.repeat(np.arange(n), [len(b) for b in bags]), np.concatenate([np.zeros(0, np.int64), *bags]).astype(np.int64)
     if not len(f) or not pos.any() or pos.all():
         return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, factors)))
-    chosen = buckets
+    # sums by text and by bucket are runs of the entries and of the entries sorted by bucket
+    texts, by_bucket = textops.runs(d), np.argsort(f, kind="stable")
+    d2, f2 = d[by_bucket], f[by_bucket]
+    terms = textops.runs(f2)
+    rows, cols = d[texts], f2[terms]
     rng = np.random.RandomState(0)
-    w, v = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), factors))
+    w, v = np.zeros(len(buckets)), rng.normal(0, 0.01, (factors, len(buckets)))
     state = [np.zeros_like(x) for x in (w, v, w, v)] + [0.0, 0.0]
-    for i in range(1, rounds + 1):
-        raw, sums = _second_order(w, v, d, f, n)
-        err = 1 / (1 + np.exp(-np.clip(bias + raw, -30, 30))) - pos
-        gw = np.bincount(f, weights=err[d], minlength=len(w)) / n + 1e-5 * w
-        gv = np.stack([np.bincount(f, weights=err[d] * (sums[d, k] - v[f, k]), minlength=len(w)) for k in range(factors)], 1) / n + 1e-4 * v
-        gb = err.mean()
-        step = 0.1 * np.sqrt(1 - 0.999**i) / (1 - 0.9**i)
-        for j, g in ((0, gw), (1, gv)):
-            state[j] = 0.9 * state[j] + 0.1 * g
-            state[j + 2] = 0.999 * state[j + 2] + 0.001 * g * g
+    sums = np.zeros((factors, n))
+    for i in range(1, rounds + pairs + 1):
+        done = i - rounds - 1
+        if each_round and done >= 0 and done % 50 == 0:
+            each_round(done, Machine(buckets, float(bias), w, v.T))
+        raw = np.full(n, bias)
+        if done >= 0:
+            for k in range(factors):
+                sums[k, rows] = np.add.reduceat(v[k][f], texts)
+            raw += 0.5 * (sums**2).sum(0)
+        raw[rows] += np.add.reduceat((w - 0.5 * (v**2).sum(0) if done >= 0 else w)[f], texts)
+        err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - pos) / n
+        each = err[d2]
+        whole = np.add.reduceat(each, terms)
+        gw, gv = 1e-5 * w, 1e-5 * v
+        gw[cols] += whole
+        if done >= 0:
+            for k in range(factors):
+                gv[k, cols] += np.add.reduceat(each * sums[k][d2], terms) - v[k, cols] * whole
+        gb = err.sum()
+        for j, g, at, rate in ((0, gw, i, 0.1), (1, gv, done + 1, 0.02)):
+            if at > 0:
+                state[j] = 0.9 * state[j] + 0.1 * g
+                state[j + 2] = 0.999 * state[j + 2] + 0.001 * g * g
+                change = rate * np.sqrt(1 - 0.999**at) / (1 - 0.9**at) * state[j] / (np.sqrt(state[j + 2]) + 1e-8)
+                w, v = (w - change, v) if j == 0 else (w, v - change)
         state[4], state[5] = 0.9 * state[4] + 0.1 * gb, 0.999 * state[5] + 0.001 * gb * gb
-        w = w - step * state[0] / (np.sqrt(state[2]) + 1e-8)
-        v = v - step * state[1] / (np.sqrt(state[3]) + 1e-8)
-        bias -= step * state[4] / (np.sqrt(state[5]) + 1e-8)
-    return Machine(chosen, float(bias), w, v)
+        bias -= 0.1 * np.sqrt(1 - 0.999**i) / (1 - 0.9**i) * state[4] / (np.sqrt(state[5]) + 1e-8)
+    if each_round:
+        each_round(pairs, Machine(buckets, float(bias), w, v.T))
+    return Machine(buckets, float(bias), w, np.ascontiguousarray(v.T))
+
+
+def _loss(m: Machine, bags: list[np.ndarray], y: np.ndarray) -> float:
+    d, f = np.repeat(np.arange(len(y)), [len(b) for b in bags]), np.concatenate([np.zeros(0, np.int64), *bags]).astype(np.int64)
+    raw = m.bias + (_second_order(m.weights, m.factors, d, f, len(y))[0] if len(m.weights) else 0)
+    return float(np.logaddexp(0, np.where(y > 0, -1, 1) * np.clip(raw, -30, 30) * np.ones(len(y))).mean())
+
+
+def fit_validated(buckets: np.ndarray, bags: list[np.ndarray], y: np.ndarray, aside: np.ndarray, factors: int = 4) -> Machine:
+    """The machine fitted to all rows with as many rounds with factors as do best on the rows `aside`, fitted to the others."""
+    losses: dict[int, float] = {0: 0.0}
+    if aside.any() and not aside.all():
+        rest = [b for b, u in zip(bags, aside) if u]
+        watch = lambda done, m: losses.__setitem__(done, _loss(m, rest, y[aside]))
+        fit_machine(buckets, [b for b, u in zip(bags, aside) if not u], y[~aside], factors, each_round=watch)
+    return fit_machine(buckets, bags, y, factors, pairs=min(losses, key=losses.get))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 20_000, held_out: int | None = 2, keep: int = 2048, least: int = 3, z: float = 3.0) -> Machine:
-    """Fit on at most `most` labelled rows, those of least hash of their key, and at most `keep` buckets.
+def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 20_000, held_out: int | None = 2, keep: int = 2048, least: int = 3, z: float = 3.0, beside: int = 256) -> Machine:
+    """Fit on at most `most` labelled rows, those of least hash of their key, and at most `keep` + `beside` buckets.
 
-    Rows whose crc32(key as text) mod 4 is `held_out` take no part (None: all may).
+    Rows whose crc32(key as text) mod 4 is `held_out` take no part (None: all may); those
+    of the next remainder are set aside to choose by, then used like the others.
     Null keys, labels and texts take no part. The driver sees the kept buckets of those
     rows only; the list of drawn keys, bounded by `most`, is broadcast, so that texts stay put.
     """
@@ -138,16 +205,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
         use = use.where(crc % 4 != held_out)
     use = use.groupBy(key).agg(F.max("y").alias("y")).orderBy(F.xxhash64(key), key).limit(most)
     bags = materialize(_bags(docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(use), key), key, text), "bags")
-    n, positive = bags.agg(F.count("*"), F.coalesce(F.sum((F.col("y") > 0).cast("long")), F.lit(0))).first()
-    buckets = choose_buckets(bags, n, positive, keep, least, z)
+    buckets = choose_buckets(bags, keep, least, z, beside)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             blobs = [np.flatnonzero(np.isin(buckets, np.frombuffer(x, "<i4"), assume_unique=True)).astype("<i4").tobytes() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], [key, "y", "terms"])
 
-    rows = sorted((tuple(r) for r in bags.mapInArrow(kept, bags.schema).collect()), key=lambda r: (r[0], r[1], r[2]))
-    return fit_machine(buckets, [np.frombuffer(r[2], "<i4") for r in rows], np.array([r[1] for r in rows], np.int64))
+    rows = sorted((tuple(r) for r in bags.mapInArrow(tidy(kept), bags.schema).collect()), key=lambda r: (r[0], r[1], r[2]))
+    aside = np.array([zlib.crc32(str(r[0]).encode()) % 4 == ((held_out or 0) + 1) % 4 for r in rows], bool)
+    return fit_validated(buckets, [np.frombuffer(r[2], "<i4") for r in rows], np.array([r[1] for r in rows], np.int64), aside)
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:
@@ -164,4 +231,4 @@ def score_toxicity(docs: DataFrame, machine: Machine, key: str = "doc_id", text:
                 p = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, name])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)

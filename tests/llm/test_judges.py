@@ -1,7 +1,9 @@
+import dataclasses
 import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import docs_frame, frame, odd_rows, words
 
@@ -141,7 +143,7 @@ def bags_of_pairs(n, seed):
 
 def test_machine_learns_a_pair_of_terms():
     bags, y = bags_of_pairs(3000, 0)
-    m = toxicity.fit_machine(np.arange(43), bags, y, rounds=800)
+    m = toxicity.fit_machine(np.arange(43), bags, y, rounds=100, pairs=800)
     bags, y = bags_of_pairs(500, 1)
     raw = m.logits(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags))
     assert ((raw > 0) == y).mean() > 0.97
@@ -149,6 +151,43 @@ def test_machine_learns_a_pair_of_terms():
     assert both[0] > 0 > one[0]
 
 
+def test_training_learns_a_pair_that_neither_term_shows(spark):
+    rng = np.random.RandomState(5)
+    n = 6000
+    insult, group = rng.rand(n) < 0.4, rng.rand(n) < 0.5
+    # with the insult the group makes it toxic, a mild word without the group does as often: group alone says nothing
+    mild = rng.rand(n) < 0.4
+    y = np.where(group, insult, mild & ~insult | insult & (rng.rand(n) < 0.15)).astype(int)
+    text = [" ".join((["insultword"] if a else []) + (["groupname"] if b else []) + (["mildword"] if c else []) + [f"x{rng.randint(60)}q" for _ in range(4)]) for a, b, c in zip(insult, group, mild)]
+    df = spark.createDataFrame(pd.DataFrame({"doc_id": range(n), "text": text}))
+    labels = spark.createDataFrame(pd.DataFrame({"doc_id": range(n), "toxic": y}))
+    m = toxicity.train_toxicity(df, labels)
+    held = df.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2")
+    pdf = frame(toxicity.score_toxicity(held, m))
+    linear = dataclasses.replace(m, factors=np.zeros_like(m.factors))
+    plain = frame(toxicity.score_toxicity(held, linear))
+    loss = lambda p: -np.log(np.where(p.toxic == 1, p.score, 1 - p.score).clip(1e-9)).mean()
+    probe = frame(toxicity.score_toxicity(spark.createDataFrame([(1, "insultword groupname x1q x2q"), (2, "groupname x1q x2q"), (3, "groupname mildword x1q")], "doc_id long, text string"), m)).set_index("doc_id").score
+    assert probe[1] > 0.8 and probe[2] < 0.2 and probe[3] < 0.3
+    assert loss(pdf) < 0.8 * loss(plain) and ((pdf.score >= 0.5) == (pdf.toxic == 1)).mean() > 0.88
+
+
+def test_factors_are_no_worse_than_weights_alone(spark, monkeypatch):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held = docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2")
+
+    def quality_of(m):
+        p = frame(toxicity.score_toxicity(held.select("toxic", "text"), m))
+        return p[p.toxic == 1].score.ge(0.3).mean(), -np.log(np.where(p.toxic == 1, p.score, 1 - p.score).clip(1e-9)).mean()
+
+    recall, loss = quality_of(toxicity.train_toxicity(docs, labels))
+    whole = toxicity.fit_machine
+    monkeypatch.setattr(toxicity, "fit_machine", lambda *a, **k: whole(*a, **{**k, "pairs": 0}))
+    alone, alone_loss = quality_of(toxicity.train_toxicity(docs, labels))
+    assert recall >= alone - 0.005 and loss <= alone_loss * 1.02
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     pdf = frame(queries.op7_toxicity(spark, sf)).merge(frame(table(spark, sf, "labels")), on="doc_id")
