@@ -101,7 +101,8 @@ class Quantizer:
         """Squared distances of uncoded residuals to coded ones, by table."""
         out = np.zeros((len(rest), len(codes)), np.float32)
         for i, ((a, b), w) in enumerate(zip(self.cuts, self.words)):
-            table = ((rest[:, None, a:b] - w[None]) ** 2).sum(2).astype(np.float32)
+            part = rest[:, a:b]
+            table = ((part**2).sum(1)[:, None] + (w**2).sum(1) - 2 * part @ w.T).astype(np.float32)
             out += table[:, codes[:, i]]
         return out
 
