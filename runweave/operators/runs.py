@@ -67,6 +67,13 @@ def in_local_year(runs: DataFrame, zone: str, year: int) -> DataFrame:
     return near.withColumn("day", X.local_date(F.col("scheduled_at"), zone)).where(F.year("day") == year)
 
 
+def in_local_day(runs: DataFrame, zone: str, day: str) -> DataFrame:
+    """Runs of one local day: a UTC range a day wider on both sides, which reaches the scan, then the exact local day."""
+    lo, hi = (F.expr(f"cast(date'{day}' as timestamp_ntz) {d}") for d in ("- interval 1 day", "+ interval 2 days"))
+    at = F.col("scheduled_at").cast("timestamp_ntz")
+    return runs.where((at >= lo) & (at < hi)).withColumn("day", X.local_date(F.col("scheduled_at"), zone)).where(F.col("day") == F.expr(f"date'{day}'"))
+
+
 def calendar(archive: DataFrame, live: DataFrame | None, zone: str, year: int, deduplicated: bool = False) -> DataFrame:
     """Per workflow and local day: completed, failed, in_progress, scheduled, total; days without runs are absent.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runweave.functions import scalars as X
@@ -82,16 +83,15 @@ def park_turns(transitions: str = "transitions") -> Column:
 def debounced(readings: DataFrame, key: str) -> DataFrame:
     """(key, seq, shown): a status is shown after two readings of it in a row; the first is taken at once.
 
-    readings: key, seq, status. The fold runs over one key's readings in order.
+    readings: key, seq, status. What is shown is the latest status that agrees with the
+    reading before it; a missing status is never shown.
     """
-    walk = """aggregate(r, named_struct('shown', cast(null as string), 'next', cast(null as string), 'out', cast(array() as array<struct<seq:bigint,shown:string>>)),
-        (a, x) -> named_struct(
-            'shown', if(a.shown is null or x.status = a.next and x.status <> a.shown, x.status, a.shown),
-            'next', if(a.shown is null or x.status = a.shown or x.status = a.next, null, x.status),
-            'out', concat(a.out, array(named_struct('seq', x.seq, 'shown', if(a.shown is null or x.status = a.next and x.status <> a.shown, x.status, a.shown))))),
-        a -> a.out)"""
-    r = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "status")))
-    return readings.groupBy(key).agg(r.alias("r")).select(key, F.explode(F.expr(walk)).alias("o")).select(key, "o.seq", "o.shown")
+    upto = W.partitionBy(key).orderBy("seq")
+    before = F.count("status").over(upto.rowsBetween(W.unboundedPreceding, -1))
+    sure = F.when((before == 0) | (F.col("status") == F.lag("status").over(upto)), F.col("status"))
+    r = readings.withColumn("sure", sure)
+    shown = F.last("sure", True).over(upto.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return r.select(key, F.col("seq").cast("long").alias("seq"), shown.alias("shown"))
 
 
 def abnormal_end(marker_known: Column, has_marker: Column, state: Column) -> Column:

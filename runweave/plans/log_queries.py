@@ -171,13 +171,16 @@ def _(x: Fixtures) -> DataFrame:
     return j.select("edge", F.nullif(F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))), F.lit(0).cast("long")).alias("turns"))
 
 
-@query("W11_debounce", "SELECT user_id AS key, signal_id AS seq FROM signals", "signals")
+_DEBOUNCED = "SELECT key, seq, last_value(CASE WHEN seq = first OR status = prev THEN status END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq) AS shown FROM (SELECT *, lag(status) OVER (PARTITION BY key ORDER BY seq) AS prev, min(seq) OVER (PARTITION BY key) AS first FROM (SELECT user_id AS key, signal_id AS seq, CASE WHEN v > 50 THEN 'healthy' ELSE 'degraded' END AS status FROM signals))"
+
+
+@query("W11_debounce", _DEBOUNCED, "signals")
 def _(x: Fixtures) -> DataFrame:
     r = x.signals().select(F.col("user_id").alias("key"), F.col("signal_id").alias("seq"), F.when(F.col("v") > 50, "healthy").otherwise("degraded").alias("status"))
-    return T.debounced(r, "key").select("key", "seq")
+    return T.debounced(r, "key")
 
 
-@query("W11_debounced_status")
+@query("W11_debounced_status", _DEBOUNCED, "signals")
 def _(x: Fixtures) -> DataFrame:
     r = x.signals().select(F.col("user_id").alias("key"), F.col("signal_id").alias("seq"), F.when(F.col("v") > 50, "healthy").otherwise("degraded").alias("status"))
     return T.debounced(r, "key")

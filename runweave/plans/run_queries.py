@@ -451,7 +451,13 @@ def _(x: Fixtures) -> DataFrame:
     return d.join(default, "id").join(n, "id").join(c, "id", "left").select("id", "version", "status", "n_versions", (F.col("version") == F.col("dv")).alias("is_default"), F.coalesce("completed_runs", F.lit(0)).alias("completed_runs"))
 
 
-@query("Q4_instances_of_day", "SELECT id, state FROM (SELECT id, workflow_id, state, scheduled_at FROM archive UNION ALL SELECT id, workflow_id, state, scheduled_at FROM live WHERE id NOT IN (SELECT id FROM archive)) WHERE workflow_id = 7 AND timezone('Asia/Tokyo', timezone('UTC', scheduled_at))::DATE BETWEEN '1996-01-01' AND '1996-12-31'", "archive live")
+@query("Q4_instances_of_day", "SELECT id, state FROM (SELECT id, workflow_id, state, scheduled_at FROM archive UNION ALL SELECT id, workflow_id, state, scheduled_at FROM live WHERE id NOT IN (SELECT id FROM archive)) WHERE workflow_id = 7 AND timezone('Asia/Tokyo', timezone('UTC', scheduled_at))::DATE = DATE '1995-03-01'", "archive live")
+def _(x: Fixtures) -> DataFrame:
+    m = R.merge_archive_wins(x.archive().where("workflow_id = 7"), x.live().where("workflow_id = 7"))
+    return R.in_local_day(m, "Asia/Tokyo", "1995-03-01").select("id", "state")
+
+
+@query("Q4_instances_of_year", "SELECT id, state FROM (SELECT id, workflow_id, state, scheduled_at FROM archive UNION ALL SELECT id, workflow_id, state, scheduled_at FROM live WHERE id NOT IN (SELECT id FROM archive)) WHERE workflow_id = 7 AND timezone('Asia/Tokyo', timezone('UTC', scheduled_at))::DATE BETWEEN '1996-01-01' AND '1996-12-31'", "archive live")
 def _(x: Fixtures) -> DataFrame:
     m = R.merge_archive_wins(x.archive().where("workflow_id = 7"), x.live().where("workflow_id = 7"))
     return R.in_local_year(m, "Asia/Tokyo", 1996).select("id", "state")
