@@ -46,7 +46,7 @@ def parse_duration(text: Column) -> tuple[Column, Column]:
     t = F.trim(text)
     digits = F.regexp_extract(t, "^[0-9]*", 0)
     unit = F.substr(t, F.length(digits) + 1)
-    value = F.expr("try_cast(null as decimal(38,0))") if False else digits.cast("decimal(38,0)")
+    value = digits.cast("decimal(38,0)")
     scale = F.when(unit.isin("", "s"), 1).when(unit == "m", 60).when(unit == "h", 3600)
     most = F.lit("18446744073709551615").cast("decimal(38,0)")
     error = (
