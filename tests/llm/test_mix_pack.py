@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 from helpers import docs_frame, frame, odd_rows, words
+from pyspark.sql import functions as F
 
 from runweave.llm import mixing, packing
 from runweave.llm.common import table
@@ -67,6 +68,15 @@ def test_mixed_rows_repeat_as_often_as_taken(spark):
     assert count == {k: v for k, v in taken.items() if v}
 
 
+def test_mixed_rows_keep_columns_of_any_name(spark):
+    df = docs_frame(spark, [(i, " ".join(["w"] * (i + 1)), "ab"[i % 2]) for i in range(20)])
+    plain = sorted(r.doc_id for r in mixing.mixed_rows(df).collect())
+    names = ["h", "z", "t", "i", "cut", "s", "n", "H_"]
+    odd = df.drop(*names).withColumns({n: F.lit(-7) for n in names})
+    got = mixing.mixed_rows(odd).collect()
+    assert sorted(r.doc_id for r in got) == plain and all(r[n] == -7 for r in got for n in names)
+
+
 def check_pack(spark, df, limit=2048):
     from tokenizers import Tokenizer
 

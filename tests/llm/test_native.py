@@ -63,6 +63,13 @@ def test_redaction_and_query(spark, sf):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_personal_data_keeps_columns_of_any_name(spark):
+    names = ["t", "b", "m_email", "s_card"]
+    df = docs_frame(spark, [(1, "x a@b.co", "a"), (2, None, "a")]).withColumns({n: F.lit("q") for n in [*names, "base"]})
+    got = pii.find_pii(df).orderBy("doc_id").collect()
+    assert [len(r.base) for r in got] == [1, 0] and all(r[n] == "q" for r in got for n in names)
+
+
 def split(url):
     at = (url or "").find("://")
     rest = url[at + 3 :] if at >= 0 else ""
