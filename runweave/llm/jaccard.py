@@ -30,10 +30,16 @@ from .common import components, join_spread, materialize, release, tidy
 
 RARE = 512  # in up to so many texts a shingle is indexed alone; the result is the same at any value
 BLOCK = 256
+SIG = 16
 HALF = np.uint64(1 << 63)
 SLICE = 2_000_000
 
 
+def _sigs(h: np.ndarray, off: np.ndarray) -> list[bytes | None]:
+    """Fingerprint of each set; None for an empty one."""
+    return [hashlib.blake2b(h[a:b].tobytes(), digest_size=SIG).digest() if b > a else None for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+
+
 def shingle_info(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(id, n, sig): size and fingerprint of each text's shingle set; sig is null for an empty one."""
 
@@ -42,14 +48,13 @@ def shingle_info(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
         for batch in batches:
             for part in textops.slices(batch, text):
                 h, off = textops.shingle_sets(textops.Texts(part.column(1)), width)
-                sig = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(sig, pa.binary())], ["id", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(_sigs(h, off), pa.binary())], ["id", "n", "sig"])
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).mapInArrow(tidy(run), "id long, n long, sig binary")
 
 
 def shingle_blobs(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(id, set): the sorted distinct 64-bit shingle hashes of each text."""
+    """(id, sig, set): fingerprint and sorted distinct 64-bit shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -57,9 +62,9 @@ def shingle_blobs(docs: DataFrame, key: str, text: str, width: int) -> DataFrame
             for part in textops.slices(batch, text):
                 h, off = textops.shingle_sets(textops.Texts(part.column(1)), width)
                 blobs = [h[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_sigs(h, off), pa.binary()), pa.array(blobs, pa.binary())], ["id", "sig", "set"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).mapInArrow(tidy(run), "id long, set binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).mapInArrow(tidy(run), "id long, sig binary, set binary")
 
 
 def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
@@ -72,11 +77,11 @@ def _short(count: np.ndarray) -> np.ndarray:
 
 
 _NONE = b""
-_POST = "bucket int, batch long, parts int, toks binary, at binary, hot binary, n binary, ids binary, sizes binary"
+_POST = "bucket int, batch long, parts int, toks binary, at binary, hot binary, n binary, ids binary, sigs binary, sizes binary"
 
 
 def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: int, buckets: int) -> DataFrame:
-    """(id, n, toks): the prefix shingles of every text that occur in two texts or more; texts without any are left out.
+    """(id, sig, n, toks): the prefix shingles of every text that occur in two texts or more; texts without any are left out.
 
     The order is: hashes below 2^63 by document count, then the others by hash; of the
     latter only as many as the prefix still needs are looked at. A task deals its
@@ -93,7 +98,7 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
             for part in textops.slices(batch, text, SLICE):
                 h, off = textops.shingle_sets(textops.Texts(part.column(1)), width)
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                n = np.diff(off)
+                n, sigs = np.diff(off), b"".join(x or bytes(SIG) for x in _sigs(h, off))
                 doc = np.repeat(np.arange(len(n)), n)
                 low = np.bincount(doc[h < HALF], minlength=len(n))
                 used = np.where(n > 1, np.maximum(low, _prefix(n, percent)), 0)
@@ -107,7 +112,7 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
                 first = textops.runs(code)
                 count = np.diff(np.concatenate([first, [len(code)]]))
                 many = np.repeat(count > 8, count)
-                name = int.from_bytes(hashlib.blake2b(ids.tobytes() + n.tobytes() + h.tobytes(), digest_size=8).digest(), "little", signed=True)
+                name = int.from_bytes(hashlib.blake2b(ids.tobytes() + sigs + n.tobytes() + h.tobytes(), digest_size=8).digest(), "little", signed=True)
                 hot, hot_n = code[first[count > 8]], count[count > 8].astype("<u4")
                 one, one_doc = code[~many], doc[~many].astype("<u2")
                 used_buckets = np.unique(code[first] >> 32)
@@ -115,12 +120,12 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
                 edges, hot_edges = list(bounds(one)), list(bounds(hot))
                 one, hot = one.astype("<u4"), hot.astype("<u4")
                 rows = [
-                    (b, name, 0, one[lo:hi].tobytes(), one_doc[lo:hi].tobytes(), hot[x:y].tobytes(), hot_n[x:y].tobytes(), _NONE, _NONE)
+                    (b, name, 0, one[lo:hi].tobytes(), one_doc[lo:hi].tobytes(), hot[x:y].tobytes(), hot_n[x:y].tobytes(), _NONE, _NONE, _NONE)
                     for b, (lo, hi), (x, y) in zip(used_buckets.tolist(), edges, hot_edges)
                 ]
                 sizes = np.stack([n, low, used], 1).astype("<i8").tobytes()
-                rows.append((-1 - name % buckets, name, len(rows), code[many].astype("<i8").tobytes(), doc[many].astype("<u2").tobytes(), _NONE, _NONE, ids.tobytes(), sizes))
-                types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
+                rows.append((-1 - name % buckets, name, len(rows), code[many].astype("<i8").tobytes(), doc[many].astype("<u2").tobytes(), _NONE, _NONE, ids.tobytes(), sigs, sizes))
+                types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
                 names = [f.split()[0] for f in _POST.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
@@ -148,7 +153,7 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
         # counts of the single entries, then of the summed ones
         out["n"] = [cut[i][two[i]].tobytes() + cut[k + i].tobytes() for i in range(k)]
         release()
-        return out.assign(ids=_NONE, sizes=_NONE)
+        return out.assign(ids=_NONE, sigs=_NONE, sizes=_NONE)
 
     def cut(g: pd.DataFrame) -> pd.DataFrame:
         answers, own = g[g.bucket >= 0].drop_duplicates("bucket"), g[g.bucket < 0]
@@ -179,12 +184,12 @@ def prefix_postings(docs: DataFrame, key: str, text: str, width: int, percent: i
             keep = place < room[doc]
             tok, doc = tok[keep], doc[keep]
             first = textops.runs(doc)
-            rows = [(ids[d], n[d], t) for d, t in zip(doc[first].tolist(), np.split(tok, first[1:]))]
+            rows = [(ids[d], m.sigs[SIG * d : SIG * (d + 1)], n[d], t) for d, t in zip(doc[first].tolist(), np.split(tok, first[1:]))]
         release()
-        return pd.DataFrame(rows, columns=["id", "n", "toks"])
+        return pd.DataFrame(rows, columns=["id", "sig", "n", "toks"])
 
     sent = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias(text)).where("id is not null").mapInArrow(tidy(send), _POST)
-    return sent.groupBy("bucket").applyInPandas(count, _POST).groupBy("batch").applyInPandas(cut, "id long, n long, toks array<long>")
+    return sent.groupBy("bucket").applyInPandas(count, _POST).groupBy("batch").applyInPandas(cut, "id long, sig binary, n long, toks array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -278,6 +283,18 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def key_links(info: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of a key that stands on different texts, as a star around one of them."""
+    texts = info.where("sig is not null and id is not null").select("id", "sig")
+    several = texts.groupBy("id").agg(F.min("sig").alias("first"), F.max("sig").alias("last"), F.count("*").alias("c")).where("first < last").drop("last")
+    several = materialize(several, "several")
+    total = several.agg(F.sum("c")).first()[0] or 0
+    star = join_spread(texts, several, "id", "c", total, "sig").where("sig <> first").select("sig", "first").distinct()
+    ends = nodes.select("sig", "node")
+    star = star.join(ends.withColumnRenamed("node", "a"), "sig").select("first", "a")
+    return star.join(ends.select(F.col("sig").alias("first"), F.col("node").alias("b")), "first").select("a", "b")
+
+
 def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, stored: bool = False) -> DataFrame:
     """(key, n_shingles, component_id), one row an input row.
 
@@ -285,23 +302,28 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Two texts link if 100 * intersection >= percent * union; component_id is the smallest
     key reachable over links. Null texts and texts without words have no shingles and
     link with nothing. Equal sets are one node, so copies cost one row each. A key on
-    rows with different texts stands for all of them; a null key links with nothing.
+    rows with different texts stands for all of them: what one of them links with is
+    linked with the key; its rows without shingles stay alone. A null key links with
+    nothing.
     Other columns of docs are not read. stored: docs is read from files as it stands;
     otherwise key and text are written first, as batches of texts must not change between passes.
     """
     docs = docs.select(key, text) if stored else materialize(docs.select(key, text), "docs")
     info = materialize(shingle_info(docs, key, text, width), "info")
     nodes = info.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     total = info.agg(F.sum("n")).first()[0] or 0
-    post = prefix_postings(docs, key, text, width, percent, max(64, total >> 19))
-    post = post.join(nodes.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"])
-    post = materialize(post.select("id", "n", F.explode("toks").alias("tok")), "postings")
+    post = prefix_postings(docs, key, text, width, percent, max(64, total >> 19)).withColumnRenamed("id", "rep")
+    post = post.join(nodes.select("rep", "sig", "node"), ["rep", "sig"]).dropDuplicates(["rep", "sig"])
+    post = materialize(post.select(F.col("node").alias("id"), "n", F.explode("toks").alias("tok")), "postings")
     size = post.count()
     by_tok = post.groupBy("tok").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lead")).where("c > 1")
     classes = by_tok.groupBy("c", "x", "lead").agg(F.min("tok").alias("tok"), F.count("*").alias("mult"))
     post = materialize(join_spread(post, classes, "tok", "c", size, "id").select("tok", "id", "n", "c", "mult", "lead"), "classes")
-    sets = docs.join(post.select(F.col("id").alias(key)).distinct().hint("merge"), key, "left_semi").select(key, text).dropDuplicates([key])
-    sets = materialize(shingle_blobs(sets, key, text, width), "sets")
+    used = nodes.join(post.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select(F.col("rep").alias("id"), "sig", "node")
+    sets = docs.join(used.select(F.col("id").alias(key)).distinct().hint("merge"), key, "left_semi").select(key, text).dropDuplicates([key, text])
+    sets = shingle_blobs(sets, key, text, width).dropDuplicates(["id", "sig"]).join(used.hint("merge"), ["id", "sig"])
+    sets = materialize(sets.select(F.col("node").alias("id"), "set"), "sets")
 
     tries = post.where("id <> lead").groupBy("id", "lead").agg(F.sum("mult").alias("w"))
     tries = tries.groupBy("id").agg(F.max(F.struct(F.col("w"), -F.col("lead"))).alias("t")).select(F.col("id").alias("a"), (-F.col("t")["col2"]).alias("b"))
@@ -319,8 +341,11 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     combos = often.join(other, (F.col("id") == F.col("id2")) & (F.col("lead") < F.col("lead2"))).select(F.struct(F.col("lead").alias("x"), F.col("lead2").alias("y")).alias("k"), "id", "n", "comp")
     keyed = rare.unionByName(twice).unionByName(combos)
     more = materialize(connecting_links(keyed, sets, percent), "links")
-    final = components(links.union(more))
-    known = nodes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "copies", F.coalesce("component_id", "rep").alias("component_id"))
+    final = materialize(components(links.union(more).union(key_links(info, nodes))).withColumnRenamed("id", "node"), "components")
+    joined = final.join(nodes.select("node", "rep"), "node")
+    least = joined.groupBy(F.col("component_id").alias("comp")).agg(F.min("rep").alias("least"), F.count("*").alias("c"))
+    joined = join_spread(final.withColumnRenamed("component_id", "comp"), least, "comp", "c", final.count(), "node").select("node", "least")
+    known = nodes.join(joined, "node", "left").select("sig", "copies", F.coalesce("least", "rep").alias("component_id"))
     known = materialize(known, "known")
     alone = F.col("sig").isNull() | F.col("id").isNull()
     out = join_spread(info.where(~alone), known, "sig", "copies", info.count(), "id").select("id", "n", "component_id")

@@ -137,5 +137,17 @@ def test_texts_match_brute_force_on_documents(spark, sf):
     check_texts(spark, [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()])
 
 
+def test_a_key_on_different_texts_stands_for_all_of_them(spark):
+    texts = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"}
+    near = {c: t + " more" for c, t in texts.items()}
+    rows = [(1, texts["a"]), (2, near["a"]), (2, texts["b"]), (2, None), (3, near["b"]), (3, near["b"]), (4, texts["c"]), (5, near["c"]), (6, texts["d"]), (6, texts["e"]), (6, texts["f"]), (7, near["f"]), (8, texts["d"]), (None, texts["a"]), (9, "alone")]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, 9: 9, None: None}
+    for order in (rows, rows[::-1]):
+        got = jaccard.near_texts(docs_frame(spark, [(i, t, "s") for i, t in order])).collect()
+        sizes = sorted((i or 0, max(1, len(words(t)) - 4) if t else 0) for i, t in rows)
+        assert sorted((r[0] or 0, r[1]) for r in got) == sizes
+        assert all(r[2] == (want[r[0]] if r[1] else r[0]) for r in got)
+
+
 def test_no_texts(spark):
     assert jaccard.near_texts(docs_frame(spark, [])).count() == 0

@@ -29,6 +29,14 @@ def test_stages_do_what_they_say(spark, sf):
     assert five.where("piece = 0").count() == four.count()
 
 
+def test_one_text_of_a_repeated_id_stays(spark, sf):
+    body = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, body, "a"), (2, body + " end", "a"), (2, "another text", "a"), (2, None, "a"), (3, "x", "a"), (3, "y", "a"), (3, "y", "a"), (None, "z", "a")]
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    got = [sorted((r.doc_id or 0, r.text) for r in stage(spark, docs_frame(spark, order), sf).collect()) for order in (rows, rows[::-1])]
+    assert got[0] == got[1] and [i for i, _ in got[0]] == [0, 1, 3]
+
+
 def test_run_equals_stages(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.count() > 0 and got.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
