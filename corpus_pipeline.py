@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runweave.llm import jaccard, mixing, packing, pii, queries, toxicity
-from runweave.llm.common import materialize, table
+from runweave.llm.common import materialize, table, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,9 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts connected by five-word Jaccard links of 0.8 or more, the one of smallest doc_id, once."""
-    kept = jaccard.near_texts(docs, stored=bool(docs.inputFiles())).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    """Of texts connected by five-word Jaccard links of 0.8 or more, the one of smallest doc_id, once.
+
+    Rows of one doc_id count as connected; of those of the smallest one that comes first by content stays.
+    """
+    kept = jaccard.near_texts(docs, stored=bool(docs.inputFiles())).groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("doc_id = component_id").select("doc_id")
+    (place,) = unused(docs, "place")
+    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c) for c, t in docs.dtypes if "map<" not in t and t != "variant"])
+    one = docs.join(kept, "doc_id", "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return docs.where("doc_id is null").unionByName(one.select(docs.columns))
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
