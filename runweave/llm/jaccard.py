@@ -10,8 +10,9 @@ are indexed once.
 
 Only connection is asked for, so candidates are first tried against one earlier document
 each. What is not connected then is compared in blocks: a task takes two blocks of
-documents with an index key in common and sizes that may match, tests the pairs not
-connected yet and returns the links that connect them, so pairs are never rows of a table.
+documents with an index key in common and sizes that may match, drops by bitmaps the pairs
+that cannot reach the similarity, tests the rest as far as they are not connected yet and
+returns the links that connect them, so pairs are never rows of a table.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .common import components, join_spread, materialize, release, tidy
 
 RARE = 512  # in up to so many texts a shingle is indexed alone; the result is the same at any value
 BLOCK = 256
+BITS = 4096
 SIG = 16
 HALF = np.uint64(1 << 63)
 SLICE = 2_000_000
@@ -256,6 +258,8 @@ def connecting_links(keyed: DataFrame, sets: DataFrame, percent: int) -> DataFra
             share |= inc @ inc.T > 0
         share &= left[:, None] & right[None, :] & (comp[:, None] != comp[None, :])
         share &= (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None])
+        if share.any():
+            share &= may_link(blobs, percent)
         root = {c: c for c in comp.tolist()}
 
         def find(c: int) -> int:
@@ -276,6 +280,22 @@ def connecting_links(keyed: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return d.groupBy("lead", "i", "j").applyInPandas(connect, "a long, b long")
 
 
+def may_link(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Matrix of the pairs of sets that bitmaps do not rule out; no pair of the similarity is ruled out.
+
+    Bits of one set's bitmap that the other's lacks are no more than the shingles it
+    lacks, which bounds the intersection from above at any size of the sets.
+    """
+    bits = np.zeros((len(sets), BITS), np.float32)
+    for row, x in enumerate(sets):
+        bits[row, (x >> np.uint64(20)).astype(np.int64) % BITS] = 1
+    own = np.array([len(x) for x in sets], np.int64) - bits.sum(1).astype(np.int64)
+    most = own[:, None] + (bits @ bits.T).astype(np.int64)
+    most = np.minimum(most, most.T)
+    size = own + bits.sum(1).astype(np.int64)
+    return 100 * most >= percent * (size[:, None] + size[None, :] - most)
+
+
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0

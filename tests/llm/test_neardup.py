@@ -53,6 +53,23 @@ def test_vectors_match_brute_force(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_bitmaps_rule_out_no_similar_pair():
+    rng = np.random.RandomState(5)
+    base = [rng.randint(0, 1 << 62, n).astype(np.uint64) for n in (1, 2, 5, 40, 300, 300, 9000)]
+    sets = []
+    for x in base:
+        for part in (0, 0.05, 0.11, 0.2, 0.25, 0.6):
+            new = rng.randint(0, 1 << 62, int(part * len(x))).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([x[: len(x) - len(new)], new])))
+    may = jaccard.may_link(sets, 80)
+    both = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    size = np.array([len(x) for x in sets])
+    similar = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    assert (may | ~similar).all() and similar.sum() > len(sets)
+    texts = np.flatnonzero(size == 300)
+    assert (may == similar)[np.ix_(texts, texts)].mean() > 0.95
+
+
 def test_few_probes_keep_recall(spark, sf):
     rows = vector_rows()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
