@@ -19,23 +19,34 @@ def _rows(parts: Iterable[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(parts)).sort_values(order, kind="stable")
 
 
-def idempotency(requests: DataFrame, ttl: int) -> DataFrame:
-    """(key, seq, outcome, original): Fresh, Dedup or Conflict; a key is held ttl seconds from the request that took it."""
+def idempotency(requests: DataFrame, ttl: int, buckets: int = 1024) -> DataFrame:
+    """(key, seq, outcome, original): Fresh, Dedup or Conflict; a key is held ttl seconds from the request that took it.
 
-    def step(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
+    Keys are dealt over buckets and a bucket has one state for all of its keys: a call and a
+    state for each key cost far more than its rows.
+    """
+    known = F.col("key").isNotNull()
+    dealt = requests.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), F.when(known, F.col("key")).otherwise(0).alias("key"), known.alias("known"), "seq", "at", "hash")
+
+    def step(_: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {}
+        if state.exists:
+            keys, *rest = state.get
+            held = dict(zip(keys, zip(*rest)))
         out = []
-        for r in _rows(parts, ["seq"]).itertuples():
-            if held is None or r.at >= held[1] + ttl:
-                held = (int(r.seq), int(r.at), str(r.hash))
-                out.append((key[0], r.seq, "Fresh", r.seq))
+        r = _rows(parts, ["seq"])
+        for key, known, seq, at, digest in zip(*(r[c].tolist() for c in ["key", "known", "seq", "at", "hash"])):
+            key, digest = key if known else None, str(digest)
+            first = held.get(key)
+            if first is None or at >= first[1] + ttl:
+                held[key] = (seq, at, digest)
+                out.append((key, seq, "Fresh", seq))
             else:
-                out.append((key[0], r.seq, "Dedup" if str(r.hash) == held[2] else "Conflict", held[0]))
-        if held is not None:
-            state.update(held)
-        yield pd.DataFrame(out, columns=["key", "seq", "outcome", "original"])
+                out.append((key, seq, "Dedup" if digest == first[2] else "Conflict", first[0]))
+        state.update((list(held), *map(list, zip(*held.values()))))
+        yield pd.DataFrame(out, columns=["key", "seq", "outcome", "original"], dtype=object)
 
-    return requests.groupBy("key").applyInPandasWithState(step, "key long, seq long, outcome string, original long", "seq long, at long, hash string", "append", GroupStateTimeout.NoTimeout)
+    return dealt.groupBy("bucket").applyInPandasWithState(step, "key long, seq long, outcome string, original long", "keys array<long>, seqs array<long>, ats array<long>, hashes array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def one_shot_gates(events: DataFrame, shards: int = 8) -> DataFrame:

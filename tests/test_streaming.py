@@ -61,3 +61,16 @@ def test_upsert_refuses_rows_that_are_not_terminal(spark, tmp_path):
     sinks.upsert_runs(s, str(tmp_path / "runs"), str(tmp_path / "state"), "id", "arrival").awaitTermination()
     got = spark.read.parquet(str(tmp_path / "runs" / "batch=1")).select("id", "state", F.lit(1))
     assert sorted(map(tuple, got.collect())) == [(1, "Failed", 1), (3, "Completed", 1)]
+
+
+def test_idempotency_calls_python_by_bucket_and_not_by_key(spark, tmp_path):
+    schema = "key long, seq long, at long, hash string"
+    big = 2**60 + 1
+    batches = [[(big + i, i, 0, "a") for i in range(300)] + [(None, 300, 0, "a")], [(big + i, 400 + i, 5, "ab"[i % 2]) for i in range(300)] + [(None, 700, 5, "b")]]
+    s = stateful.idempotency(feed(spark, tmp_path, batches, schema), 10, 2)
+    q = s.writeStream.format("memory").queryName("held").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+    got = {(r.key, r.seq): (r.outcome, r.original) for r in spark.table("held").collect()}
+    want = {(big + i, i): ("Fresh", i) for i in range(300)} | {(big + i, 400 + i): (("Dedup", "Conflict")[i % 2], i) for i in range(300)} | {(None, 300): ("Fresh", 300), (None, 700): ("Conflict", 300)}
+    assert got == want
