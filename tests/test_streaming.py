@@ -74,3 +74,10 @@ def test_idempotency_calls_python_by_bucket_and_not_by_key(spark, tmp_path):
     got = {(r.key, r.seq): (r.outcome, r.original) for r in spark.table("held").collect()}
     want = {(big + i, i): ("Fresh", i) for i in range(300)} | {(big + i, 400 + i): (("Dedup", "Conflict")[i % 2], i) for i in range(300)} | {(None, 300): ("Fresh", 300), (None, 700): ("Conflict", 300)}
     assert got == want
+
+
+def test_gates_keep_every_digit_of_their_ids(spark, tmp_path):
+    big = 2**60 + 1
+    batches = [[("a", big, big, None), ("a", big + 2, None, big + 7), ("a", big + 4, big + 9, None)], [("a", big + 6, big, None), ("a", big + 8, None, big + 11), ("a", big + 8, big + 13, None)]]
+    got = drain(spark, stateful.one_shot_gates(feed(spark, tmp_path, batches, "name string, seq long, gate_id long, signal_id long"), 3), tmp_path)
+    assert sorted(map(tuple, got.collect())) == [(big, big + 7), (big, big + 11), (big + 9, big + 11), (big + 13, big + 11)]
