@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from runweave.plans.loops import cut
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df, to be joined by merging: a table that grows with the graph is never sent through the driver to be broadcast."""
+    return df.hint("merge")
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select("edge", "kind", F.explode("sources").alias("s"), "targets").select("edge", "kind", "s", F.explode("targets").alias("t"))
 
@@ -282,11 +287,24 @@ def firing(edges: DataFrame, nodes: DataFrame, gates: DataFrame | None = None) -
 
 
 def nearest_ancestor(parents: DataFrame, complete: DataFrame) -> DataFrame:
-    """(id, ancestor, depth): the nearest complete ancestor of each row of parents (id, parent), itself included at 0."""
-    up = parents.select(F.col("id").alias("s"), F.col("parent").alias("t")).where("t is not null")
-    seen = closure(up, parents.select(F.col("id").alias("origin"), "id"))
-    ok = seen.join(complete.select("id"), "id", "left_semi")
-    return ok.groupBy("origin").agg(F.min(F.struct("depth", "id")).alias("m")).select(F.col("origin").alias("id"), F.col("m.id").alias("ancestor"), F.col("m.depth").alias("depth"))
+    """(id, ancestor, depth): the nearest complete ancestor of each row of parents (id, parent), itself included at 0.
+
+    Complete rows hand themselves down; a row takes the smallest that reaches it first and
+    hands on only that, so no round holds more than a row for each id.
+    """
+    done = complete.select("id").distinct()
+    front = cut(done.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")))
+    seen = front.join(apart(parents.select("id")), "id", "left_semi")
+    rest = cut(parents.select("id", "parent").where("parent is not null").distinct().join(apart(done), "id", "left_anti"))
+    depth = 0
+    while True:
+        depth += 1
+        step = rest.join(apart(front.select(F.col("id").alias("parent"), "ancestor")), "parent")
+        front = cut(step.groupBy("id").agg(F.min("ancestor").alias("ancestor")).withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            return seen
+        rest = cut(rest.join(apart(front.select("id")), "id", "left_anti"))
+        seen = cut(seen.unionByName(front)) if depth % 8 == 0 else seen.unionByName(front)
 
 
 def rehydration(values: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -182,3 +182,24 @@ def test_unsatisfied_gate_stops_an_edge_and_ungated_exit_stops_a_loop(spark):
     control = spark.createDataFrame([(2, "loop_control"), (3, "loop_control"), (6, "a"), (9, "loop_control"), (9, "a")], "edge long, variable string")
     got = {tuple(r) for r in G.loop_terminable(e, G.loop_components(e), control).collect()}
     assert got == {(2, 3, 1, False), (8, 0, 0, False), (9, 1, 0, True)}
+
+
+def test_nearest_ancestor_holds_a_row_for_each_id(spark, monkeypatch):
+    cut, rows = G.cut, []
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut", counted)
+    n = 127
+    tree = spark.createDataFrame([(i, i // 2 if i > 1 else None) for i in range(1, n + 1)], "id long, parent long")
+    got = {r.id: (r.ancestor, r.depth) for r in G.nearest_ancestor(tree, tree.where("id = 1 or id % 2 = 0")).collect()}
+    want = {i: (i, 0) if i == 1 or i % 2 == 0 else next((i >> d, d) for d in range(1, 8) if i >> d == 1 or (i >> d) % 2 == 0) for i in range(1, n + 1)}
+    assert got == want
+    assert sum(rows) <= 3 * n
+    # a cycle with nothing complete, two parents at one distance, a complete ancestor that has no row, a repeated row
+    odd = spark.createDataFrame([(1, 2), (2, 1), (3, 9), (3, 8), (4, 3), (4, 7), (5, 4), (5, 1), (5, 1), (6, None)], "id long, parent long")
+    ok = spark.createDataFrame([(9,), (8,), (6,), (6,)], "id long")
+    assert sorted(map(tuple, G.nearest_ancestor(odd, ok).collect())) == [(3, 8, 1), (4, 8, 2), (5, 8, 3), (6, 6, 0)]
