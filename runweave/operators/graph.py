@@ -24,13 +24,13 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def closure(adj: DataFrame, seeds: DataFrame) -> DataFrame:
     """(origin, id, depth): what each origin (seeds: origin, id) reaches over s -> t, itself at depth 0; cycles are fine."""
-    adj = adj.select("s", "t").distinct()
+    adj = cut(adj.select("s", "t").distinct())
     seen = cut(seeds.select("origin", "id").distinct().withColumn("depth", F.lit(0)))
     front, depth = seen, 0
     while True:
         depth += 1
-        step = front.join(adj, front["id"] == adj["s"]).select("origin", F.col("t").alias("id")).distinct()
-        front = cut(step.join(seen.select("origin", "id"), ["origin", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = front.join(apart(adj), F.col("id") == F.col("s")).select("origin", F.col("t").alias("id")).distinct()
+        front = cut(step.join(apart(seen.select("origin", "id")), ["origin", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
         seen = cut(seen.unionByName(front)) if depth % 8 == 0 else seen.unionByName(front)
@@ -47,20 +47,19 @@ def fireable(nodes: DataFrame, edges: DataFrame, closed: DataFrame) -> DataFrame
     Sources outside the closure count if they succeeded. Each round tests the edges not yet
     open against what is known; it ends when a round adds nothing.
     """
-    ends = edges.select("edge", F.explode("sources").alias("s")).distinct()
-    need = ends.groupBy("edge").agg(F.count("*").alias("n"))
-    targets = edges.select("edge", F.explode("targets").alias("t"))
-    roots = closed.select("id").join(targets.select(F.col("t").alias("id")), "id", "left_anti")
-    done = nodes.where("ground = 'success'").select("id").join(closed.select("id"), "id", "left_anti")
+    ends = cut(edges.select("edge", F.explode("sources").alias("s")).distinct())
+    targets = cut(edges.select("edge", F.explode("targets").alias("t")))
+    closed = closed.select("id")
+    roots = closed.join(apart(targets.select(F.col("t").alias("id"))), "id", "left_anti")
+    done = nodes.where("ground = 'success'").select("id").join(apart(closed), "id", "left_anti")
     ok, front = cut(roots), cut(roots.unionByName(done))
-    have = cut(need.select("edge", F.lit(0).cast("long").alias("m")))
+    wait = cut(ends.groupBy("edge").agg(F.count("*").alias("n")))
     rounds = 0
     while True:
-        hit = ends.join(front, ends["s"] == front["id"]).groupBy("edge").agg(F.count("*").alias("k"))
-        have = cut(have.join(hit, "edge", "left").select("edge", (F.col("m") + F.coalesce("k", F.lit(0))).alias("m")))
-        full = have.join(need, "edge").where("m = n").select("edge")
-        new = targets.join(full, "edge", "left_semi").select(F.col("t").alias("id")).distinct().join(closed.select("id"), "id", "left_semi")
-        front = cut(new.join(ok, "id", "left_anti"))
+        hit = ends.join(apart(front), F.col("s") == F.col("id")).groupBy("edge").agg(F.count("*").alias("k"))
+        wait = cut(wait.where("n > 0").join(apart(hit), "edge", "left").select("edge", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
+        new = targets.join(apart(wait.where("n = 0")), "edge", "left_semi").select(F.col("t").alias("id")).distinct().join(apart(closed), "id", "left_semi")
+        front = cut(new.join(apart(ok), "id", "left_anti"))
         if front.isEmpty():
             return ok
         rounds += 1
@@ -72,7 +71,7 @@ def replay_seed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     adj = adjacency(edges)
     closed = reach(adj, nodes.where("ground = 'failed'").select("id"))
     fire = fireable(nodes, edges, closed).withColumn("f", F.lit(True))
-    j = nodes.join(closed.select("id", F.lit(True).alias("c")), "id", "left").join(fire, "id", "left")
+    j = nodes.join(apart(closed.select("id", F.lit(True).alias("c"))), "id", "left").join(apart(fire), "id", "left")
     inside = F.coalesce("c", F.lit(False))
     ground = F.when(inside, "pending").otherwise(F.col("ground"))
     return j.select("id", ground.alias("ground"), (~inside & (F.col("kind") == "task") & (F.col("ground") == "success")).alias("pre_grounded"), (inside & F.col("f").isNull() & (F.col("kind") == "task")).alias("doomed"))
@@ -83,35 +82,35 @@ def edge_violations(edges: DataFrame, start: DataFrame, guarded: DataFrame) -> D
 
     guarded: edge, node. Each guarded edge is its own origin; its own arcs are left out.
     """
-    adj = adjacency(edges).select("edge", "s", "t")
+    adj = cut(adjacency(edges).select("edge", "s", "t"))
     seen = cut(guarded.select(F.col("edge").alias("g")).distinct().crossJoin(F.broadcast(start.limit(1))).select("g", "id", F.lit(0).alias("depth")))
     front, depth = seen, 0
     while True:
         depth += 1
-        step = front.join(adj, (front["id"] == adj["s"]) & (front["g"] != adj["edge"])).select("g", F.col("t").alias("id")).distinct()
-        front = cut(step.join(seen.select("g", "id"), ["g", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = front.join(apart(adj), (F.col("id") == F.col("s")) & (F.col("g") != F.col("edge"))).select("g", F.col("t").alias("id")).distinct()
+        front = cut(step.join(apart(seen.select("g", "id")), ["g", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = cut(seen.unionByName(front))
     hit = seen.select(F.col("g").alias("edge"), F.col("id").alias("node"), F.col("depth").alias("length"))
     known = edges.select("edge", F.lit(True).alias("known"))
-    j = guarded.join(hit, ["edge", "node"], "left").join(known, "edge", "left")
+    j = guarded.join(apart(hit), ["edge", "node"], "left").join(apart(known), "edge", "left")
     return j.select("edge", "node", (F.col("known").isNull() | F.col("length").isNotNull()).alias("violated"), F.when(F.col("known").isNotNull(), F.col("length")).alias("length"))
 
 
 def task_dominates(edges: DataFrame, start: DataFrame, pairs: DataFrame) -> DataFrame:
     """(ancestor, node, dominates): node is not reached from start once the ancestor's own arcs are refused; a node dominates itself."""
-    adj = adjacency(edges).select("s", "t").distinct()
+    adj = cut(adjacency(edges).select("s", "t").distinct())
     seen = cut(pairs.select(F.col("ancestor").alias("g")).distinct().crossJoin(F.broadcast(start.limit(1))).select("g", "id"))
     front = seen
     while True:
-        step = front.where("id <> g").join(adj, F.col("id") == adj["s"]).select("g", F.col("t").alias("id")).distinct()
-        front = cut(step.join(seen, ["g", "id"], "left_anti"))
+        step = front.where("id <> g").join(apart(adj), F.col("id") == F.col("s")).select("g", F.col("t").alias("id")).distinct()
+        front = cut(step.join(apart(seen), ["g", "id"], "left_anti"))
         if front.isEmpty():
             break
         seen = cut(seen.unionByName(front))
     hit = seen.select(F.col("g").alias("ancestor"), F.col("id").alias("node"), F.lit(True).alias("hit"))
-    j = pairs.join(hit, ["ancestor", "node"], "left")
+    j = pairs.join(apart(hit), ["ancestor", "node"], "left")
     return j.select("ancestor", "node", ((F.col("ancestor") == F.col("node")) | F.col("hit").isNull()).alias("dominates"))
 
 
@@ -123,12 +122,12 @@ def producer_check(edges: DataFrame, start: DataFrame, gates: DataFrame, produce
     variable without a producer is not ok; of several producers each must dominate.
     """
     g = gates.select("edge", "variable").distinct().join(producers.select("variable", "producer").distinct(), "variable", "left")
-    s = g.join(edges.select("edge", F.explode("sources").alias("node")), "edge")
+    s = g.join(apart(edges.select("edge", F.explode("sources").alias("node"))), "edge")
     pairs = s.where("producer is not null").select(F.col("producer").alias("ancestor"), "node").distinct()
     dom = task_dominates(edges, start, pairs).withColumnRenamed("ancestor", "producer")
-    j = s.join(dom, ["producer", "node"], "left")
-    j = j.join(components.select(F.col("id").alias("producer"), F.col("component").alias("body")), "producer", "left")
-    j = j.join(components.select(F.col("id").alias("node"), F.col("component").alias("own")), "node", "left")
+    j = s.join(apart(dom), ["producer", "node"], "left")
+    j = j.join(apart(components.select(F.col("id").alias("producer"), F.col("component").alias("body"))), "producer", "left")
+    j = j.join(apart(components.select(F.col("id").alias("node"), F.col("component").alias("own"))), "node", "left")
     exempt = F.coalesce((F.col("variable") == "loop_control") & (F.col("body") == F.col("own")), F.lit(False))
     return j.groupBy("edge", "variable").agg(F.bool_and(exempt | F.coalesce("dominates", F.lit(False))).alias("ok"))
 
@@ -141,8 +140,8 @@ def resolve_signals(edges: DataFrame, start: DataFrame, gates: DataFrame, slots:
     g = gates.select("edge", "signal").distinct()
     pairs = slots.select("task", "signal").distinct().join(g, "signal")
     dom = edge_violations(edges, start, pairs.select("edge", F.col("task").alias("node")).distinct()).where("not violated").select("edge", F.col("node").alias("task"))
-    n = pairs.join(dom, ["edge", "task"]).groupBy("task", "signal").agg(F.count("*").alias("n"), F.min("edge").alias("edge"))
-    j = slots.select("task", "signal").distinct().join(n, ["task", "signal"], "left")
+    n = pairs.join(apart(dom), ["edge", "task"]).groupBy("task", "signal").agg(F.count("*").alias("n"), F.min("edge").alias("edge"))
+    j = slots.select("task", "signal").distinct().join(apart(n), ["task", "signal"], "left")
     return j.select("task", "signal", F.coalesce("n", F.lit(0)).alias("candidates"), F.when(F.col("n") == 1, F.col("edge")).alias("edge"))
 
 
@@ -156,11 +155,11 @@ def loop_components(edges: DataFrame) -> DataFrame:
     heads = edges.where("kind = 'loop'").select(F.explode("targets").alias("origin")).distinct().withColumn("id", F.col("origin"))
     fwd = closure(adj, heads).select("origin", "id")
     back = closure(adj.select(F.col("t").alias("s"), F.col("s").alias("t")), heads).select("origin", "id")
-    both = fwd.join(back, ["origin", "id"])
+    both = cut(fwd.join(apart(back), ["origin", "id"]))
     size = both.groupBy("origin").agg(F.count("*").alias("n"))
     selfish = adj.where("s = t").select(F.col("s").alias("origin")).distinct().withColumn("own", F.lit(True))
-    ok = size.join(selfish, "origin", "left").where("n > 1 or own").select("origin")
-    return both.join(ok, "origin").groupBy("id").agg(F.min("origin").alias("component"))
+    ok = size.join(apart(selfish), "origin", "left").where("n > 1 or own").select("origin")
+    return both.join(apart(ok), "origin").groupBy("id").agg(F.min("origin").alias("component"))
 
 
 def ring_lanes(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -175,8 +174,8 @@ def loop_exits(edges: DataFrame, components: DataFrame) -> DataFrame:
     adj = adjacency(edges).select("edge", "s", "t")
     a = components.select(F.col("id").alias("s"), "component")
     b = components.select(F.col("id").alias("t"), F.col("component").alias("other"))
-    out = adj.join(a, "s").join(b, "t", "left").where("other is null or other <> component")
-    return components.select("component").distinct().join(out.groupBy("component").agg(F.count_distinct("edge").alias("n")), "component", "left").select("component", F.coalesce("n", F.lit(0)).alias("exits"))
+    out = adj.join(apart(a), "s").join(apart(b), "t", "left").where("other is null or other <> component")
+    return components.select("component").distinct().join(apart(out.groupBy("component").agg(F.count_distinct("edge").alias("n"))), "component", "left").select("component", F.coalesce("n", F.lit(0)).alias("exits"))
 
 
 def loop_terminable(edges: DataFrame, components: DataFrame, gates: DataFrame) -> DataFrame:
@@ -187,10 +186,10 @@ def loop_terminable(edges: DataFrame, components: DataFrame, gates: DataFrame) -
     adj = adjacency(edges).select("edge", "s", "t")
     a = components.select(F.col("id").alias("s"), "component")
     b = components.select(F.col("id").alias("t"), F.col("component").alias("other"))
-    out = adj.join(a, "s").join(b, "t", "left").where("other is null or other <> component").select("component", "edge").distinct()
+    out = adj.join(apart(a), "s").join(apart(b), "t", "left").where("other is null or other <> component").select("component", "edge").distinct()
     gated = gates.where("variable = 'loop_control'").select("edge", F.lit(True).alias("gated")).distinct()
-    n = out.join(gated, "edge", "left").groupBy("component").agg(F.count("*").alias("n"), F.count_if(F.col("gated").isNull()).alias("u"))
-    j = components.select("component").distinct().join(n, "component", "left").select("component", F.coalesce("n", F.lit(0)).alias("exits"), F.coalesce("u", F.lit(0)).alias("ungated"))
+    n = out.join(apart(gated), "edge", "left").groupBy("component").agg(F.count("*").alias("n"), F.count_if(F.col("gated").isNull()).alias("u"))
+    j = components.select("component").distinct().join(apart(n), "component", "left").select("component", F.coalesce("n", F.lit(0)).alias("exits"), F.coalesce("u", F.lit(0)).alias("ungated"))
     return j.withColumn("terminable", (F.col("exits") > 0) & (F.col("ungated") == 0))
 
 
@@ -311,6 +310,6 @@ def rehydration(values: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, disposition) of each context value (key, producer_kind, producer): carried, absent, flagged or dropped."""
     pre = nodes.where("pre_grounded").select(F.col("id").alias("producer"), F.lit(True).alias("p"))
     known = nodes.select(F.col("id").alias("producer"), F.lit(True).alias("k"))
-    j = values.join(pre, "producer", "left").join(known, "producer", "left")
+    j = values.join(apart(pre), "producer", "left").join(apart(known), "producer", "left")
     d = F.when(F.col("producer_kind") == "signal", "dropped").when(F.col("producer_kind") != "task", "flagged").when(F.col("p"), "carried").when(F.col("k"), "absent").otherwise("flagged")
     return j.select("key", d.alias("disposition"))

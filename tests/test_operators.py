@@ -11,6 +11,7 @@ from runweave.operators import logs as L
 from runweave.operators import runs as R
 from runweave.operators import signals as S
 from runweave.operators import timeline as T
+from runweave.plans import catalogue
 from runweave.sources.fixtures import Fixtures
 
 
@@ -203,3 +204,17 @@ def test_nearest_ancestor_holds_a_row_for_each_id(spark, monkeypatch):
     odd = spark.createDataFrame([(1, 2), (2, 1), (3, 9), (3, 8), (4, 3), (4, 7), (5, 4), (5, 1), (5, 1), (6, None)], "id long, parent long")
     ok = spark.createDataFrame([(9,), (8,), (6,), (6,)], "id long")
     assert sorted(map(tuple, G.nearest_ancestor(odd, ok).collect())) == [(3, 8, 1), (4, 8, 2), (5, 8, 3), (6, 6, 0)]
+
+
+@pytest.mark.parametrize("name", ["G21_rehydration_plan", "G10_loop_terminable", "G7_task_dominance"])
+def test_graph_tables_do_not_pass_through_the_driver(spark, sf, monkeypatch, name):
+    cut, plans = G.cut, []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(G, "cut", noted)
+    df = catalogue.queries()[name](spark, sf)
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
