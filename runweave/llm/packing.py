@@ -24,7 +24,7 @@ from .common import materialize, tidy, unused
 
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
-_MARK[list(b".,;:!?")] = True
+_MARK[list(b".,;:!?#$%&*")] = True
 SPECIALS = ("<|endoftext|>", "<|startoftext|>")
 
 
@@ -32,8 +32,9 @@ class WordTokens:
     """ids of texts from a tokenizer that never joins what white space parts.
 
     Each distinct word of a slice, A-Z lowered, is encoded once, many to a call with a
-    special token between them, and kept for later slices, up to `keep` words. A word is also
-    cut between a letter and the punctuation mark after it, where the tokenizer always cuts.
+    special token between them, and kept for later slices; over `keep` words, those met in one
+    slice only are forgotten, and all if that leaves over half. A word is also cut between a
+    letter and the punctuation mark after it, where the tokenizer always cuts.
     """
 
     def __init__(self, path: str, keep: int = 200_000):
@@ -47,7 +48,17 @@ class WordTokens:
     def clear(self) -> None:
         self.seen: dict[int, int] = {}
         self.flat = np.zeros(0, np.uint32)
-        self.starts = self.lens = np.zeros(0, np.int64)
+        self.starts = self.lens = self.met = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        stay = np.flatnonzero(self.met > 1)
+        if 2 * len(stay) > self.keep:
+            return self.clear()
+        keys = np.fromiter(self.seen, np.uint64, len(self.seen))[stay]
+        starts, lens = self.starts[stay], self.lens[stay]
+        self.starts, self.lens, self.met = np.cumsum(lens) - lens, lens, np.ones(len(stay), np.int64)
+        self.flat = self.flat[np.repeat(starts - self.starts, lens) + np.arange(lens.sum())]
+        self.seen = dict(zip(keys.tolist(), range(len(stay))))
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words end to end, how many each has); none holds a special token."""
@@ -72,6 +83,7 @@ class WordTokens:
         self.seen.update(zip(keys, range(n, n + len(keys))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
+        self.met = np.concatenate([self.met, np.zeros(len(lens), np.int64)])
         self.flat = np.concatenate([self.flat, ids])
 
     def ids(self, t: textops.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +93,7 @@ class WordTokens:
         letter = _LETTER[prev] | (prev2 == 0xC3) & (prev >= 0x80) & (prev != 0x97) & (prev != 0xB7)
         s, e, d = t.spans(~textops._SPACE[b], _MARK[b] & letter)
         if len(self.seen) > self.keep:
-            self.clear()
+            self.forget()
         uniq, first, inv = np.unique(t.hashes(s, e, fold=True), return_index=True, return_inverse=True)
         keys = uniq.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.seen]
@@ -89,6 +101,7 @@ class WordTokens:
         lo, hi = s[first].tolist(), e[first].tolist()
         self.learn([keys[i] for i in new], [raw[lo[i] : hi[i]].decode() for i in new])
         at = np.fromiter(map(self.seen.__getitem__, keys), np.int64, len(keys))
+        self.met[at] += 1
         starts, lens = self.starts[at], self.lens[at]
         n = lens[inv]
         ends = np.cumsum(n)

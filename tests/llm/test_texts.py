@@ -44,3 +44,18 @@ def test_word_tokens_equal_the_tokenizer(texts):
     ids, off = packing.WordTokens(path).ids(textops.Texts(pa.array(texts)))
     for i, t in enumerate(texts):
         assert ids[off[i] : off[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_words_met_again_stay_when_others_are_forgotten():
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    words = packing.WordTokens(path, keep=60)
+    alone, learned = Tokenizer.from_file(path), []
+    learn = words.learn
+    words.learn = lambda keys, new: (learned.extend(new), learn(keys, new))[1]
+    for i in range(8):
+        texts = ["often seen été# straße$ a%b&c*d x*́", *(f"only{'abcdefgh'[i]}{'klmnopqrst'[k % 10]}{'uvw'[k // 10]}" for k in range(30))]
+        ids, off = words.ids(textops.Texts(pa.array(texts)))
+        assert [ids[a : b - 1].tolist() for a, b in zip(off, off[1:])] == [alone.encode(t, add_special_tokens=False).ids for t in texts]
+    assert learned.count("often") == 1 and "été" in learned and "straße" in learned
